@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lithos.llm import html, langid, packing, secrets, simhash, substring
+from lithos.llm import bpe, html, langid, media, packing, secrets, simhash, substring, topk
 
 #: Files of public vocabularies; the operators take them as parameters.
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, with_ids=False).drop("ids", "decoded")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), JSON_FILE, with_ids=False).drop("ids")
 
@@ -40,12 +48,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, PIECE_FILE))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store(_table(spark, sf_dir, "documents"), with_media=False).drop("media", "rgb")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (
+    op1_html, op2_secret_scan, op3_bpe, op4_topk, op5_packing, op6_simhash, op7_language_id, op8_media, op9_substring_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_secret_scan, op5_packing, op6_simhash, op7_language_id, op9_substring_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,8 +15,8 @@ import re
 import sys
 from collections.abc import Callable, Iterable
 
-#: Chunks a worker keeps; the cache starts anew beyond that.
-CACHE = 500_000
+#: Chunks in each of the two generations that a worker keeps.
+CACHE = 250_000
 #: Chunks encoded as one text.
 JOINED = 2048
 #: Longer chunks are encoded each time.
@@ -32,29 +32,57 @@ def little_endian(ids: Iterable[int]) -> bytes:
     return out.tobytes()
 
 
+class Generations:
+    """A bounded cache: when the young generation is full it becomes the old one, and what is used of that is kept."""
+
+    def __init__(self, limit: int) -> None:
+        self._limit, self._young, self._old = limit, {}, {}
+
+    def fetch(self, keys: set[str], compute: Callable[[list[str]], Iterable]) -> dict:
+        """A mapping with every key; compute gives the values of those that are not kept."""
+        missing = [k for k in keys if k not in self._young]
+        if len(self._young) + len(missing) > self._limit:
+            self._old, self._young = self._young, {}
+            missing = list(keys)
+        old, todo = self._old, []
+        for k in missing:
+            if k in old:
+                self._young[k] = old[k]
+            else:
+                todo.append(k)
+        self._young.update(zip(todo, compute(todo), strict=True))
+        return self._young
+
+    def drop(self, long: Callable[[str], bool], keys: set[str]) -> None:
+        """Forget keys that are too long to keep."""
+        for k in filter(long, keys):
+            self._young.pop(k, None)
+
+
+def too_long(chunk: str) -> bool:
+    return len(chunk) > CACHED_CHUNK
+
+
+def cut(text: str) -> list[str] | None:
+    """The text's chunks, all but the first without their leading space; None if it cannot be cut."""
+    return None if _ODD.search(text) else text.split(" ")
+
+
 class ChunkEncoder:
     """Texts to packed ids; whole encodes texts, chunks encodes texts whose only space is their first character."""
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], chunks: Callable[[list[str]], list[bytes]], cache: int = CACHE) -> None:
-        self._whole, self._chunks, self._limit = whole, chunks, cache
-        self._spaced: dict[str, bytes] = {}  # by the chunk without its leading space
+        self._whole, self._chunks, self._cache = whole, chunks, Generations(cache)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed by little_endian."""
-        known = self._spaced
-        cut = [None if _ODD.search(t) else t.split(" ") for t in texts]
-        missing = {p for pieces in cut if pieces for p in pieces[1:] if p not in known}
-        if len(known) + len(missing) > self._limit:
-            known.clear()
-            missing = {p for pieces in cut if pieces for p in pieces[1:]}
-        todo = list(missing)
-        known.update(zip(todo, self._chunks([" " + p for p in todo]), strict=True))
+        pieces = list(map(cut, texts))
+        tails = {p for ps in pieces if ps for p in ps[1:]}
+        known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo]))
         # first chunks, which have no space, and texts that were not cut
-        heads = self._whole([t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)])
-        out = [h if pieces is None else h + b"".join([known[p] for p in pieces[1:]]) for h, pieces in zip(heads, cut, strict=True)]
-        for p in todo:
-            if len(p) > CACHED_CHUNK:
-                del known[p]
+        heads = self._whole([t if ps is None else ps[0] for t, ps in zip(texts, pieces, strict=True)])
+        out = [h if ps is None else h + b"".join([known[p] for p in ps[1:]]) for h, ps in zip(heads, pieces, strict=True)]
+        self._cache.drop(too_long, tails)
         return out
 
 
