@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import project
+from lithos.llm.common import bounded, project
 
 K = 20
 SCALE = 64
@@ -171,6 +171,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, scale
 
     is_query: a condition on vec_id; by default ids divisible by QUERY_STEP.
     """
+    bounded(vectors.sparkSession)
     is_query = F.col("vec_id") % QUERY_STEP == 0 if is_query is None else is_query
     rows = quantised(vectors, scale)
     total = project(vectors, vec_id="long").count()
