@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lithos.llm import bpe, html, langid, media, packing, secrets, simhash, substring, topk
+from lithos.llm import bpe, counts, html, langid, media, packing, secrets, simhash, substring, topk
 
 #: Files of public vocabularies; the operators take them as parameters.
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,8 +56,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, counts.revision())
+
+
 _QUERIES = (
     op1_html, op2_secret_scan, op3_bpe, op4_topk, op5_packing, op6_simhash, op7_language_id, op8_media, op9_substring_dedup,
+    op10_token_counts,
 )
 
 
@@ -65,5 +70,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
+#: The other queries are beyond SQL (models, libraries' tokenizers, XXH64, files) and tested against brute force.
+_ORACLES = {
+    "op4_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
+        )
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        WHERE rank <= 20
+    """,
+    "op9_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, list_slice(w, i, i + 12) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)
+        ), firsts AS (
+            SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (s) WHERE first_doc < doc_id
+        ), each AS (
+            SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+        ), marked AS (
+            SELECT e.doc_id, e.i, e.word, g.i IS NOT NULL AS removed FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+        ), kept AS (
+            SELECT doc_id, count(*)::BIGINT AS n_words, count_if(removed)::BIGINT AS n_removed,
+                string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS text
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id)
+    """.replace("\\\\", "\\"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
