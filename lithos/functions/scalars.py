@@ -60,10 +60,10 @@ class RetryPolicy:
 
 
 def _scaled(value: Column, units: tuple[tuple[int, str], ...], last: Column) -> Column:
-    """value in the first unit (size, pattern) that it reaches."""
+    """value in the first unit (size, pattern) that it reaches; ties of the last digit go to the even one."""
     out = None
     for size, pattern in units:
-        text = F.format_string(pattern, value / F.lit(float(size)))
+        text = F.format_string(pattern, F.bround(value / F.lit(float(size)), 2))
         out = F.when(value >= size, text) if out is None else out.when(value >= size, text)
     return out.otherwise(last)
 
