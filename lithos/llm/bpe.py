@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lithos.llm.common import bounded, project
-from lithos.llm.tokens import Generations, cut, read_ranks, too_long
+from lithos.llm.tokens import Generations, cut, read_ranks, tails_of
 
 #: Words above this many bytes are contracted by statements instead of one recursive query.
 LONG = 64
 #: Chunks of text in each of the two generations that a worker keeps.
-CACHE = 200_000
+CACHE = 300_000
 #: Words in one recursive query.
 WORDS = 40_000
 MEMORY = "400MB"
@@ -158,14 +158,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each text's ids in decimal, a space before each, and its decoded bytes."""
         pieces = list(map(cut, texts))
-        tails = {p for ps in pieces if ps for p in ps[1:]}
+        tails = tails_of(pieces)
         known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo]))
         heads = self._chunks([t if ps is None else ps[0] for t, ps in zip(texts, pieces, strict=True)])
         out = []
         for head, ps in zip(heads, pieces, strict=True):
             both = [head, *([known[p] for p in ps[1:]] if ps else ())]
             out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
-        self._cache.drop(too_long, tails)
+        self._cache.drop_long()
         return out
 
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:

@@ -16,12 +16,13 @@ import sys
 from collections.abc import Callable, Iterable
 
 #: Chunks in each of the two generations that a worker keeps.
-CACHE = 250_000
+CACHE = 600_000
 #: Chunks encoded as one text.
 JOINED = 2048
 #: Longer chunks are encoded each time.
 CACHED_CHUNK = 64
-_ODD = re.compile(r" \s|\s |\A | \Z")
+# A space beside white space or at an end of the text.
+_ODD = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -36,14 +37,14 @@ class Generations:
     """A bounded cache: when the young generation is full it becomes the old one, and what is used of that is kept."""
 
     def __init__(self, limit: int) -> None:
-        self._limit, self._young, self._old = limit, {}, {}
+        self._limit, self._young, self._old, self._long = limit, {}, {}, []
 
     def fetch(self, keys: set[str], compute: Callable[[list[str]], Iterable]) -> dict:
         """A mapping with every key; compute gives the values of those that are not kept."""
-        missing = [k for k in keys if k not in self._young]
+        missing = keys.difference(self._young)
         if len(self._young) + len(missing) > self._limit:
             self._old, self._young = self._young, {}
-            missing = list(keys)
+            missing = keys
         old, todo = self._old, []
         for k in missing:
             if k in old:
@@ -51,21 +52,27 @@ class Generations:
             else:
                 todo.append(k)
         self._young.update(zip(todo, compute(todo), strict=True))
+        self._long = [k for k in todo if len(k) > CACHED_CHUNK]
         return self._young
 
-    def drop(self, long: Callable[[str], bool], keys: set[str]) -> None:
-        """Forget keys that are too long to keep."""
-        for k in filter(long, keys):
+    def drop_long(self) -> None:
+        """Forget the keys of the last fetch that are too long to keep."""
+        for k in self._long:
             self._young.pop(k, None)
 
 
-def too_long(chunk: str) -> bool:
-    return len(chunk) > CACHED_CHUNK
-
-
 def cut(text: str) -> list[str] | None:
     """The text's chunks, all but the first without their leading space; None if it cannot be cut."""
-    return None if _ODD.search(text) else text.split(" ")
+    return None if text[:1] == " " or _ODD.search(text) else text.split(" ")
+
+
+def tails_of(pieces: list[list[str] | None]) -> set[str]:
+    """The distinct chunks of texts but for first ones and texts that were not cut."""
+    out: set[str] = set()
+    for ps in pieces:
+        if ps:
+            out.update(ps[1:])
+    return out
 
 
 class ChunkEncoder:
@@ -77,12 +84,12 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed by little_endian."""
         pieces = list(map(cut, texts))
-        tails = {p for ps in pieces if ps for p in ps[1:]}
-        known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo]))
+        tails = tails_of(pieces)
+        known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo])).__getitem__
         # first chunks, which have no space, and texts that were not cut
         heads = self._whole([t if ps is None else ps[0] for t, ps in zip(texts, pieces, strict=True)])
-        out = [h if ps is None else h + b"".join([known[p] for p in ps[1:]]) for h, ps in zip(heads, pieces, strict=True)]
-        self._cache.drop(too_long, tails)
+        out = [h if ps is None else h + b"".join(map(known, ps[1:])) for h, ps in zip(heads, pieces, strict=True)]
+        self._cache.drop_long()
         return out
 
 
