@@ -32,6 +32,16 @@ def project(df: DataFrame, **want: str) -> DataFrame:
     return flat.select(*[F.col(f"__c{names.index(n)}").cast(t).alias(n) for n, t in want.items()])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns named by place, __c0 and so on, so that no name clashes; toDF(*df.columns) undoes it."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name that numbered() gives to the first column of exactly that name."""
+    return f"__c{df.columns.index(name)}"
+
+
 def _ship(spark: SparkSession) -> None:
     """Give the package to Python workers, which need not share the driver's module path; once per context."""
     context = spark.sparkContext
@@ -83,11 +93,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of df in bytes; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def u64_hex(col: Column) -> Column:
     """A 64-bit integer as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, project
+from lithos.llm.common import bounded, numbered, project
 
 UNDETERMINED = "und"
 #: Bound of the training sample: expected documents per language.
@@ -280,13 +280,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the texts whose language is undetermined or scores under least."""
     bounded(docs.sparkSession)
-    columns = docs.columns
-    text = columns.index("text")
+    rows, text = numbered(docs), docs.columns.index("text")
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = model.predict(b.column(text).to_pylist())
-            keep = [n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns], names=columns)
+            langs, scores = model.predict(b.column(text).to_pylist())
+            keep = [n != UNDETERMINED and s >= least for n, s in zip(langs, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -107,7 +107,7 @@ _ORACLES = {
         )
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM documents d LEFT JOIN kept k USING (doc_id)
-    """.replace("\\\\", "\\"),
+    """,
 }
 
 

@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import discard, materialize, project
+from lithos.llm.common import discard, materialize, numbered, place, project
 
 TRAIN_FINDINGS = 4000
 TREES = 16
@@ -200,11 +200,14 @@ def scan(docs: DataFrame, path: str = "source", model: str | None = None) -> Dat
 
 def redact(docs: DataFrame, path: str = "source", model: str | None = None) -> DataFrame:
     """docs with every secret's value masked in text and n_chars set anew; all rows and other columns stay."""
-    columns = docs.columns
-    found = _scored(docs, path if path in columns else None, model)
+    rows, text = numbered(docs), place(docs, "text")
+    rows = rows.withColumn("text", F.col(text).cast("string"))
+    if path in docs.columns:
+        rows = rows.withColumn("path", F.col(place(docs, path)).cast("string"))
+    found = _scored(rows, "path" if path in docs.columns else None, model)
     masked = f"if(get(__s, i) >= {THRESHOLD}, concat(left(v.hit, length(v.hit) - length(v.value)), '{MASK}'), v.hit)"
     clean = f"concat(get(__p, 0), array_join(flatten(transform(__v, (v, i) -> array({masked}, get(__p, i + 1)))), ''))"
-    out = found.withColumn("text", F.expr(f"if(coalesce(exists(__s, s -> s >= {THRESHOLD}), false), {clean}, text)"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in columns])
+    out = found.withColumn(text, F.expr(f"if(coalesce(exists(__s, s -> s >= {THRESHOLD}), false), {clean}, text)"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn(place(docs, "n_chars"), F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"__c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -30,7 +30,6 @@ ignored or, in `keep_one`, carried; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, discard, materialize, project, u64_hex
+from lithos.llm.common import bounded, discard, materialize, numbered, place, project, u64_hex
 from lithos.llm.wordhash import word_spans
 
 SHINGLE = 3
@@ -264,13 +263,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> D
     Rows without an id cannot be told apart and stay; of rows that repeat an id and
     belong to one component, one stays.
     """
-    columns = docs.columns
     found = classify(docs, shingle, budget).filter(F.col("doc_id") != F.col("component_id"))
     gone = found.select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    rows, own = numbered(docs), place(docs, "doc_id")
+    out = rows.join(gone, rows[own].cast("long") == gone["__id"], "left_anti")
     ids = project(docs, doc_id="long").filter("doc_id is not null")
-    repeated = ids.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:
-        named = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        out = reduce(DataFrame.unionByName, (named, out.filter("doc_id is null")))
-    return out.select(*columns)
+    if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.filter(F.col(own).isNotNull()).dropDuplicates([own]).unionByName(out.filter(F.col(own).isNull()))
+    return out.toDF(*docs.columns)

@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, plan_bytes, project
+from lithos.llm.common import bounded, numbered, place, project
 from lithos.llm.wordhash import window_hashes, word_hashes, word_spans
 
 WINDOW = 13
-#: Input bytes a bucket of hashes stands for.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text a bucket of hashes stands for.
+BUCKET_BYTES = 10 << 20
 #: Bytes of text hashed together in a task.
 GROUP_BYTES = 8 << 20
+_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -82,14 +83,12 @@ def _ship(texts: list[bytes], ids: list[int], size: int, buckets: int) -> Iterat
         return
     h, least, over_doc, over_hash = _least(np.concatenate(found), np.concatenate(owners))
     base = int(least.min())
-    edges = [((b << 64) + buckets - 1) // buckets for b in range(1, buckets)]
-    cut = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # hashes are sorted, and so are their buckets
+    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     rows: tuple[list, list, list, list] = ([], [], [], [])
-    for b in range(buckets):
-        lo, hi = cut[b], cut[b + 1]
-        if lo < hi:
-            for column, value in zip(rows, (b, base, _planes(h[lo:hi]), _planes(least[lo:hi] - base)), strict=True):
-                column.append(value)
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True):
+        for column, value in zip(rows, (int(bucket[lo]), base, _planes(h[lo:hi]), _planes(least[lo:hi] - base)), strict=True):
+            column.append(value)
     docs, lists = _by_doc(over_doc, over_hash)
     for doc, raw in zip(docs, lists, strict=True):
         for column, value in zip(rows, (-1 - doc % buckets, doc, raw, None), strict=True):
@@ -103,7 +102,9 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     A document can have several rows; hashes are little-endian unsigned 64-bit values.
     """
     bounded(docs.sparkSession)
-    buckets = max(16, -(-plan_bytes(docs) // BUCKET_BYTES))
+    rows = project(docs, doc_id="long", text="string")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(16, -(-total // BUCKET_BYTES)), 1 << 31)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -133,7 +134,6 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         ids, lists = _by_doc(over_doc, over_hash)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(lists, pa.binary())})
 
-    rows = project(docs, doc_id="long", text="string")
     sent = rows.mapInArrow(ship, "bucket long, doc long, hashes binary, docs binary")
     return sent.groupBy("bucket").applyInArrow(count, "doc_id long, hashes binary")
 
@@ -148,10 +148,10 @@ def removal(words: np.ndarray, gone: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_hashes(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """docs with a column __gone: the lists of hashes to remove, null if there are none."""
-    found = repeated_windows(keys, size).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("hashes").alias("__gone"))
-    return docs.join(found, docs["doc_id"] == found["__id"], "left").drop("__id")
+def _with_hashes(rows: DataFrame, key: str, docs: DataFrame, size: int) -> DataFrame:
+    """rows with a column __gone: the lists of hashes to remove from the document in column key, null if there are none."""
+    found = repeated_windows(docs, size).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("hashes").alias("__gone"))
+    return rows.join(found, rows[key].cast("long") == found["__id"], "left").drop("__id")
 
 
 def _cut(text: bytes, gone: list[bytes] | None, size: int) -> tuple[int, int, bytes, list[tuple[int, int]]]:
@@ -184,42 +184,37 @@ def digest(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _with_hashes(rows, rows, size).select("doc_id", "text", "__gone")
+    joined = _with_hashes(rows, "doc_id", docs, size).select("doc_id", "text", "__gone")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with the repeated passages cut out of text and n_chars set anew; all other columns as they are.
 
-    White space around a cut closes to one space. A document that consists of repeats alone keeps its row with an empty text.
+    White space around a cut, and at the ends of a text that was cut, closes to one space or none. A document that consists of repeats alone keeps its row with an empty text.
     """
-    columns = docs.columns
-    keys = project(docs, doc_id="long", text="string")
-    joined = _with_hashes(docs, keys, size)
+    rows, at = numbered(docs), docs.columns.index("text")
+    joined = _with_hashes(rows, place(docs, "doc_id"), docs, size)
+    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, gone in enumerate(b.column("__gone").to_pylist()):
+            texts = b.column(at).to_pylist()
+            for i, gone in enumerate(b.column(len(schema)).to_pylist()):
                 if gone and texts[i]:
-                    data, out, at = texts[i].encode(), [], 0
-                    for s, e in _cut(data, gone, size)[3]:
-                        out.append(data[at:s].rstrip(b" \t\n\r\x0b\x0c"))
-                        at = e
-                    out.append(data[at:])
-                    texts[i] = b" ".join(x for x in (out[0], *(y.lstrip(b" \t\n\r\x0b\x0c") for y in out[1:])) if x).decode()
-            arrays = []
-            for name in columns:
-                if name == "text":
-                    arrays.append(pa.array(texts, pa.string()))
-                else:
-                    arrays.append(b.column(name))
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    out = joined.mapInArrow(run, docs.schema)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+                    data, parts, past = texts[i].encode(), [], 0
+                    for s, e in _cut(texts[i].encode(), gone, size)[3]:
+                        parts.append(data[past:s])
+                        past = e
+                    parts.append(data[past:])
+                    texts[i] = b" ".join(x for x in (y.strip(_SPACE) for y in parts) if x).decode()
+            arrays = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    out = joined.mapInArrow(run, schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn(place(docs, "n_chars"), F.length(f"__c{at}").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)
 
 
 def words_of(text: str | None) -> list[bytes]:
