@@ -26,9 +26,10 @@ def peak_concurrency(spans: DataFrame, key: str, start: str, end: str) -> DataFr
 def longest_prefix(items: DataFrame, routes: DataFrame, text: str) -> DataFrame:
     """Each item with the longest route prefix that its text starts with; null if there is none.
 
-    Prefixes are joined by value: a text is exploded to its beginnings of the lengths that routes have.
+    Prefixes are joined by value: a text is exploded to its beginnings of the lengths that routes have (only those lengths
+    come to the driver, at most as many as the longest route has characters).
     """
-    lengths = [r[0] for r in routes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).limit(256).collect()]
+    lengths = [r[0] for r in routes.select(F.length("prefix")).distinct().collect()]
     starts = F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     keyed = items.withColumn("__p", F.explode_outer(F.array_compact(starts)))
     hits = keyed.join(routes.select(F.col("prefix").alias("__p"), "route"), "__p", "left")
