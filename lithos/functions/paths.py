@@ -198,3 +198,14 @@ def smb_location(spec: Column) -> Column:
             query("username").alias("username"), query("password").isNotNull().alias("has_password"),
         ),
     )
+
+
+def display_location(spec: Column) -> Column:
+    """A location for logs and manifests: without port, user ids and credentials."""
+    nfs, smb = nfs_location(spec), smb_location(spec)
+    below = lambda c: F.when(c == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.ltrim(c, F.lit("/"))))
+    return F.coalesce(
+        F.concat(F.lit("nfs://"), nfs["host"], nfs["export"], below(nfs["sub_path"])),
+        F.concat(F.lit("smb://"), smb["host"], F.lit("/"), smb["share"], below(smb["sub_path"])),
+        spec,
+    )

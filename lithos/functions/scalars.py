@@ -166,3 +166,8 @@ def pairs_to_map(text: Column) -> Column:
     return F.map_from_entries(
         F.transform(lines, lambda s: F.struct(F.regexp_extract(s, "^([^=]*)=", 1), F.unbase64(F.regexp_extract(s, "^[^=]*=(.*)$", 1))))
     )
+
+
+def rfc3339(ts: Column) -> Column:
+    """A timestamp in UTC as 2024-01-31T12:00:00Z."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -80,6 +80,9 @@ def test_locations(spark):
     smb = one(spark, paths.smb_location(F.lit("smb:\\\\h:445\\share\\a\\b?username=u&password=p")))
     assert tuple(smb) == ("h", 445, "share", "a/b", "u", True)
     assert each(spark, ["nfs://h/e", "smb://h/s", "/x"], paths.location_kind) == ["NFS", "SMB", "Local"]
+    specs = ["nfs://h:1/e?sub=/a&uid=1", "smb://h/s/t?username=u&password=p", "/x"]
+    assert each(spark, specs, paths.display_location) == ["nfs://h/e/a", "smb://h/s/t", "/x"]
+    assert one(spark, scalars.rfc3339(F.lit("2024-01-31 12:00:00").cast("timestamp"))) == "2024-01-31T12:00:00Z"
 
 
 def _fnv(text, basis):

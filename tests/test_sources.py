@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.sources import codec, fileset, manifest
+from lithos.sources import codec, fileset, manifest, sinks
 from lithos.sources.fstree import FsTree
 from lithos.streaming import ingest
 
@@ -103,3 +103,28 @@ def test_windows(spark):
     n = {"n": F.count(F.lit(1))}
     assert [r.n for r in ingest.tumbling(rows, "ts", "1 hour", aggregates=n).collect()] in ([3, 1], [1, 3])
     assert ingest.sessions(rows, "ts", "30 minutes", aggregates=n).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a", 3), (1, "b", 4), (2, "c", 5)], "dir_id long, name string, size long")
+    dirs = spark.createDataFrame([(1, "/x"), (2, "/y")], "dir_id long, path string")
+    for snapshot in ("s1", "s2", "s1"):
+        sinks.write_catalog(files, dirs, str(tmp_path / "catalog"), snapshot)
+    assert sinks.read_snapshot(spark, str(tmp_path / "catalog"), "files", "s1").count() == 3
+    plan = spark.createDataFrame([("DIR", "/x", None), ("FILE", "/x", "a"), ("DIR", "/y", None)], "kind string, dir_path string, name string")
+    header = sinks.write_plan(plan, str(tmp_path / "plan"), 4).collect()
+    assert (sum(r.dirs for r in header), sum(r.files for r in header)) == (2, 1)
+    sinks.rewrite_plan(spark, str(tmp_path / "plan"), str(tmp_path / "plan2"), "dir_path", lambda c: F.concat(F.lit("/r"), c))
+    assert {r.dir_path for r in spark.read.parquet(str(tmp_path / "plan2")).collect()} == {"/r/x", "/r/y"}
+    index = spark.createDataFrame([("/x", "a", 1, 5), ("/x", "a", 2, 6), ("/y", "a", 1, 7)], "dir string, name string, seq long, offset long")
+    sinks.write_dir_index(index, str(tmp_path / "index"))
+    assert [r.offset for r in sinks.lookup_dir_index(spark, str(tmp_path / "index"), "/x", "a").collect()] == [6]
+
+
+def test_blobs(spark):
+    rows = spark.createDataFrame([("b", 0, 3, b"de"), ("b", 0, 0, b"abc"), ("b", 1, 0, b"f")], "bucket string, blob long, offset long, content binary")
+    blobs = sinks.blob_contents(rows)
+    assert {(r.blob, bytes(r.content)) for r in blobs.collect()} == {(0, b"abcde"), (1, b"f")}
+    index = spark.createDataFrame([("b", 0, 3, 2), ("b", 1, 0, 9), ("b", 7, 0, 1)], "bucket string, blob long, offset long, size long")
+    got = {r.blob: (r.out_of_range, r.content and bytes(r.content)) for r in sinks.read_from_blobs(index, blobs).collect()}
+    assert got == {0: (False, b"de"), 1: (True, None), 7: (True, None)}
