@@ -37,15 +37,20 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas select title".split())
-BOILER = frozenset("nav header footer aside form menu dialog button".split())
-# Words of class, id and role that mark page furniture.
+BOILER = frozenset("nav header footer aside form menu dialog button fieldset label".split())
+# Words of class, id and role that mark page furniture, wherever they stand in a name.
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav "
-    "navbar navigation navigational breadcrumb breadcrumbs footer header masthead topbar comment comments reply "
-    "replies respond disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended pagination pager toolbar widget copyright "
-    "complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner sidebar menu nav "
+    "navbar navigation navigational breadcrumb breadcrumbs footer comment comments commentlist commentform disqus cookie cookies consent "
+    "newsletter popup modal overlay pagination pager toolbar copyright complementary contentinfo".split()
 )
+# Words that mark it only as the first or last word of a name.
+FURNITURE_EDGE = frozenset(
+    "header masthead topbar side reply replies respond notice notices alert alerts subscribe subscription signup login share sharing social "
+    "related recommended widget widgets search form dialog".split()
+)
+#: Words that do not mark furniture inside an article: its title can stand there.
+HEADS = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -57,15 +62,21 @@ _MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]
 _WORD = re.compile(r"[a-z]+")
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
-    if tag in ("html", "body", "main"):
+_HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+
+
+def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+    if tag in ("html", "body", "main") or not attrs:
         return False
-    for value in _MARK.findall(attrs) if attrs else ():
+    for value in _MARK.findall(attrs):
         for name in value.strip("\"'").split():
             words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if words and words[0] not in ("no", "has", "with") and (words[0] in FURNITURE or words[-1] in FURNITURE):
+            if not words or words[0] in ("no", "has", "with"):
+                continue
+            edge = {words[0], words[-1]} - (HEADS if in_article else frozenset())
+            if not FURNITURE.isdisjoint(words) or not FURNITURE_EDGE.isdisjoint(edge):
                 return True
-    return False
+    return _HIDDEN.search(attrs) is not None
 
 
 class _Lines:
@@ -129,7 +140,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
         elif tag == "br" and not skip:
             out.add("\n", True, False)
         if skip:
-            if not closing and tag in ("article", "main") and not _is_furniture(tag, attrs) and not scope:
+            if not closing and tag in ("article", "main") and not _is_furniture(tag, attrs, False) and not scope:
                 skip.clear()  # furniture that was never closed ends where the article begins
             elif tag == skip[-1][0]:
                 skip[-1][1] += -1 if closing else (tag not in VOID)
@@ -146,7 +157,7 @@ def _lines(page: str) -> list[tuple[str, int, bool]]:
             elif tag == "a":
                 link = max(0, link - 1)
             continue
-        furniture = _is_furniture(tag, attrs) or (tag in BOILER and not (tag == "header" and scope))
+        furniture = _is_furniture(tag, attrs, bool(scope)) or (tag in BOILER and not (tag == "header" and scope))
         if furniture and tag not in VOID and not attrs.rstrip().endswith("/"):
             skip.append([tag, 1])
         elif tag in ("article", "main"):

@@ -29,6 +29,15 @@ def test_pages_without_text(page):
     assert html.main_text(page) in ("", "<", "&", "<p")
 
 
+@pytest.mark.parametrize("mark", [
+    '<div class="post-comments-list"><p>X</div>', '<ol class="commentlist"><li>X</ol>', '<div id=userComments>X</div>', "<div hidden>X</div>",
+    '<p style="color:red; display: none">X</p>', '<section role="complementary">X</section>', '<div class="box share">X</div>', "<label>X</label>",
+])
+def test_furniture_in_an_article(mark):
+    page = f'<article><div class="article-header"><h1>Title</h1></div><p class="adult content-shared">Text{mark}<p>More</article>'
+    assert html.main_text(page) == "Title\nText\nMore"
+
+
 def test_unclosed_furniture_ends_at_the_article():
     assert html.main_text("<nav><a>Home</a><article><p>Text</article>") == "Text"
 
