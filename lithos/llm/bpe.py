@@ -35,8 +35,8 @@ from lithos.llm.tokens import Generations, cut, read_ranks, tails_of
 
 #: Words above this many bytes are contracted by statements instead of one recursive query.
 LONG = 64
-#: Chunks of text in each of the two generations that a worker keeps.
-CACHE = 300_000
+#: Chunks and words in each of the two generations that a worker keeps.
+CACHE = 450_000
 #: Words in one recursive query.
 WORDS = 40_000
 MEMORY = "400MB"
@@ -115,7 +115,7 @@ class Codec:
         self._db.execute("CREATE TABLE merges AS SELECT * FROM t")
         self._db.register("t", names)
         self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM t")
-        self._cache = Generations(CACHE)
+        self._cache, self._words = Generations(CACHE), Generations(CACHE)
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -132,7 +132,7 @@ class Codec:
         found = self._db.sql(sql).to_arrow_table()
         return list(zip(found.column("ids").to_pylist(), found.column("bytes").to_pylist(), strict=True))
 
-    def words(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+    def _contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Each word's ids in decimal, a space before each, and its bytes as decoded from the ids."""
         out: dict[bytes, tuple[bytes, bytes]] = {}
 
@@ -153,7 +153,7 @@ class Codec:
                         break
                     self._db.register("tokens", after)
                 keep([word], self._query(_FIXPOINT))
-        return out
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Each text's ids in decimal, a space before each, and its decoded bytes."""
@@ -170,10 +170,10 @@ class Codec:
 
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         split = [[w.encode() for w in self._split(c)] for c in chunks]
-        found = self.words(list({w for ws in split for w in ws}))
-        return [
-            found[ws[0]] if len(ws) == 1 else (b"".join([found[w][0] for w in ws]), b"".join([found[w][1] for w in ws])) for ws in split
-        ]
+        found = self._words.fetch({w for ws in split for w in ws}, self._contract)
+        out = [found[ws[0]] if len(ws) == 1 else (b"".join([found[w][0] for w in ws]), b"".join([found[w][1] for w in ws])) for ws in split]
+        self._words.drop_long()
+        return out
 
 
 @functools.cache
