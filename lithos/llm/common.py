@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.session import ship_package
+
 #: Rows in one Arrow batch handed to a Python worker; bounds a worker's memory.
 BATCH_ROWS = 1024
 
@@ -42,23 +42,9 @@ def place(df: DataFrame, name: str) -> str:
     return f"__c{df.columns.index(name)}"
 
 
-def _ship(spark: SparkSession) -> None:
-    """Give the package to Python workers, which need not share the driver's module path; once per context."""
-    context = spark.sparkContext
-    if getattr(context, "_lithos_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="lithos-"), "lithos.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(top.rglob("*.py")):
-            z.write(file, file.relative_to(top.parent))
-    context.addPyFile(archive)
-    context._lithos_shipped = True
-
-
 def bounded(spark: SparkSession) -> SparkSession:
     """Ready a session for Python workers: ship the package, and keep Arrow batches so small that their whole texts fit."""
-    _ship(spark)
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark

@@ -41,6 +41,8 @@ EM_ROUNDS = 4
 SMOOTHING = 0.05
 #: Training words longer than this are left out; scoring takes words of any length.
 TRAIN_WORD = 30
+#: Words whose segmentations are summed together; bounds a worker's memory.
+WORDS = 16_384
 #: Documents under this posterior are rejected by keep_known.
 LEAST_SCORE = 0.5
 
@@ -174,8 +176,8 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
     chance = np.full((pieces.count + 1, langs), 1.0 / (pieces.count + 1))
     for _ in range(EM_ROUNDS):
         sums = np.zeros_like(chance)
-        for at in range(0, len(words), 20_000):
-            sums += pieces.lattice(words[at : at + 20_000]).expected(chance, counts[at : at + 20_000])
+        for at in range(0, len(words), WORDS):
+            sums += pieces.lattice(words[at : at + WORDS]).expected(chance, counts[at : at + WORDS])
         sums += SMOOTHING
         chance = sums / sums.sum(axis=0)
     return chance
@@ -208,7 +210,12 @@ class Model:
             words = _WORDS.findall(text.lower()) if text else []
             flat.extend([number[w] for w in words])
             sizes.append(len(words))
-        _, logs = self.finder.lattice(list(number)).forward(self.chance)
+        # words of like length go together, a bounded number of them at a time
+        names = sorted(number, key=len)
+        logs = np.empty((len(names), len(self.langs)))
+        for at in range(0, len(names), WORDS):
+            part = names[at : at + WORDS]
+            logs[[number[w] for w in part]] = self.finder.lattice(part).forward(self.chance)[1]
         size = np.array(sizes, np.int64)
         total = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(size)
@@ -217,8 +224,8 @@ class Model:
             total[full] = np.add.reduceat(logs[np.array(flat, np.int64)], starts, axis=0)
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        names = [self.langs[b] if n else UNDETERMINED for b, n in zip(best.tolist(), sizes, strict=True)]
-        return names, np.where(size > 0, score, 0.0).tolist()
+        found = [self.langs[b] if n else UNDETERMINED for b, n in zip(best.tolist(), sizes, strict=True)]
+        return found, np.where(size > 0, score, 0.0).tolist()
 
 
 def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG) -> Model:
