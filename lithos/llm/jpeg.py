@@ -13,7 +13,7 @@ and of 6 to 63. All coefficients being non-zero by then, a refinement is an
 end-of-band run followed by plain bits, for which encoder and decoder have a fast
 path; the decoder's general path reads any such scan.
 
-Two chroma components at half resolution hold zero. The payload's length stands in
+Two chroma components at half the width hold zero. The payload's length stands in
 a comment segment.
 """
 
@@ -166,7 +166,7 @@ def _ac_first(bits: _Bits, rows: np.ndarray, table: _Huffman, start: int, end: i
             skip, size = symbol >> 4, symbol & 15
             if size:
                 k += skip
-                row[k] = bits.signed(size) * (1 << low)
+                row[k] = bits.signed(size) << low
                 k += 1
             elif skip == 15:
                 k += 16
@@ -219,8 +219,8 @@ def _ac_refine(bits: _Bits, rows: np.ndarray, table: _Huffman, start: int, end:
             at, run = at + 1, run - 1
         part = band[at : at + run]
         plain = bits.bits[bits.at : bits.at + part.size]
-        if len(plain) == part.size and (part > 0).all() and not (part & step).any():  # all are refined, and upwards
-            part += plain.reshape(part.shape).astype(part.dtype) << low
+        if 0 < part.size == len(plain) and part.min() > 0 and not (part & step).any():  # all are refined, and upwards
+            part += plain.reshape(part.shape).astype(part.dtype) << part.dtype.type(low)
             bits.at += part.size
             at += run
             continue
@@ -260,7 +260,7 @@ class Image:
         tall, wide = max(x.v for x in self.components), max(x.h for x in self.components)
         rows, columns = -(-self.height // (8 * tall)), -(-self.width // (8 * wide))
         for c in self.components:
-            self.coefficients[c.id] = np.zeros((rows * c.v, columns * c.h, 64), np.int32)
+            self.coefficients[c.id] = np.zeros((rows * c.v, columns * c.h, 64), np.int16)
 
     def rgb(self) -> np.ndarray:
         """The RGB tensor (height, width, 3), chroma repeated to full resolution."""
@@ -352,7 +352,8 @@ def _scan(image: Image, huffman: dict, body: bytes, raw: bytes) -> None:
     c, tables = chosen[0]
     tall, wide = image._own(c)
     whole = image.coefficients[c.id]
-    part = np.ascontiguousarray(whole[:tall, :wide]).reshape(-1, 64)
+    exact = whole.shape[:2] == (tall, wide)
+    part = whole.reshape(-1, 64) if exact else np.ascontiguousarray(whole[:tall, :wide]).reshape(-1, 64)
     if not start:
         if high:
             _dc_refine(bits, part, low)
@@ -362,7 +363,8 @@ def _scan(image: Image, huffman: dict, body: bytes, raw: bytes) -> None:
         _ac_refine(bits, part, huffman[1, tables & 15], start, end, low)
     else:
         _ac_first(bits, part, huffman[1, tables & 15], start, end, low)
-    whole[:tall, :wide] = part.reshape(tall, wide, 64)
+    if not exact:
+        whole[:tall, :wide] = part.reshape(tall, wide, 64)
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -402,7 +404,7 @@ def encode(payload: bytes) -> bytes:
     n = len(payload) // BLOCK
     if not n or len(payload) % BLOCK:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
-    columns = min(n, max(WIDE, -(-n // 8000)))
+    columns = min(n + n % 2, max(WIDE, 2 * -(-n // 16000)))  # even: chroma is half as wide
     rows = -(-n // columns)
     blocks = np.zeros((rows * columns, BLOCK), np.uint8)
     blocks.ravel()[: len(payload)] = np.frombuffer(payload, np.uint8)
@@ -410,7 +412,7 @@ def encode(payload: bytes) -> bytes:
     dc, ac = _own_tables()
     out = [
         b"\xff\xd8", _segment(0xFE, _COMMENT + str(len(payload)).encode()), _segment(0xDB, bytes((0,)) + bytes([1] * 64)),
-        _segment(0xC2, bytes((8,)) + (rows * 8).to_bytes(2, "big") + (columns * 8).to_bytes(2, "big") + bytes((3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0))),
+        _segment(0xC2, bytes((8,)) + (rows * 8).to_bytes(2, "big") + (columns * 8).to_bytes(2, "big") + bytes((3, 1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0))),
         _segment(0xC4, _table(0, _DC) + _table(1, _AC)),
     ]
 
@@ -423,7 +425,7 @@ def encode(payload: bytes) -> bytes:
 
     # the first scans: 256 >> 8 = 1 at every place of luma, 0 in chroma
     scan(1, 0, 0, 0, 8, np.concatenate((np.array([*code(dc, 1), 1], np.uint8), np.full(count - 1, code(dc, 0)[0], np.uint8))))
-    half = -(-rows // 2) * -(-columns // 2)
+    half = rows * columns // 2
     for component in (2, 3):
         scan(component, 0, 0, 0, 0, np.full(half, code(dc, 0)[0], np.uint8))
     for start, end in BANDS:
