@@ -10,8 +10,9 @@ batch once, with the smallest doc_id that has it there, to the bucket of its
 hash, so a passage in a third of all documents costs its bucket one entry a
 batch; documents of the batch beyond that smallest one are known to be repeats
 and need no count. A bucket holds a fixed amount of input, so buckets grow in
-number, not in size. What comes back is, per document, the hashes to remove; a
-join on doc_id brings them to the text, which is hashed again.
+number, not in size. What comes back is a row per document and window to remove, as
+many as there are; gathered per document, a join on doc_id brings them to the text,
+which is hashed again.
 
 Defined results: null text has no words; a document with fewer than `size` words
 loses nothing; a null doc_id is ordered with no other, so the row neither loses
@@ -35,9 +36,9 @@ from lithos.llm.wordhash import window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of text a bucket of hashes stands for.
-BUCKET_BYTES = 10 << 20
+BUCKET_BYTES = 3 << 20
 #: Bytes of text hashed together in a task.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 3 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -61,11 +62,14 @@ def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.argsort(docs, kind="stable")
+    """Distinct hashes of each document, packed."""
+    order = np.lexsort((hashes, docs))
     d, h = docs[order], hashes[order]
+    own = np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) if len(d) else np.empty(0, bool)
+    d, h = d[own], h[own]
     cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(d))[: len(cut)]
-    return d[cut].tolist(), [np.unique(h[a:b]).tobytes() for a, b in zip(cut, ends, strict=True)]
+    return d[cut].tolist(), [h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
 
 
 _SHIPPED = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
@@ -97,10 +101,7 @@ def _ship(texts: list[bytes], ids: list[int], size: int, buckets: int) -> Iterat
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, hashes): windows of the document that also start in one with a smaller id.
-
-    A document can have several rows; hashes are little-endian unsigned 64-bit values.
-    """
+    """Rows (doc_id, hash): windows of the document that also start in one with a smaller id; hash is a signed long."""
     bounded(docs.sparkSession)
     rows = project(docs, doc_id="long", text="string")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -123,19 +124,20 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         yield from _ship(texts, ids, size, buckets)
 
     def count(bucket: pa.Table) -> pa.Table:
-        if bucket.column("bucket")[0].as_py() < 0:
-            return bucket.select(["doc", "hashes"]).rename_columns(["doc_id", "hashes"])
-        h = np.concatenate([_unplanes(x.as_buffer(), np.uint64) for x in bucket.column("hashes")])
-        d = np.concatenate([
-            _unplanes(x.as_buffer(), np.int64) + base.as_py()
-            for x, base in zip(bucket.column("docs"), bucket.column("doc"), strict=True)
-        ])
-        _, _, over_doc, over_hash = _least(h, d)
-        ids, lists = _by_doc(over_doc, over_hash)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(lists, pa.binary())})
+        if bucket.column("bucket")[0].as_py() < 0:  # found by a batch already
+            lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("hashes")]
+            docs, hashes = np.repeat(bucket.column("doc").to_numpy(), list(map(len, lists))), np.concatenate(lists)
+        else:
+            h = np.concatenate([_unplanes(x.as_buffer(), np.uint64) for x in bucket.column("hashes")])
+            d = np.concatenate([
+                _unplanes(x.as_buffer(), np.int64) + base.as_py()
+                for x, base in zip(bucket.column("docs"), bucket.column("doc"), strict=True)
+            ])
+            _, _, docs, hashes = _least(h, d)
+        return pa.table({"doc_id": docs, "hash": hashes.view(np.int64)})
 
     sent = rows.mapInArrow(ship, "bucket long, doc long, hashes binary, docs binary")
-    return sent.groupBy("bucket").applyInArrow(count, "doc_id long, hashes binary")
+    return sent.groupBy("bucket").applyInArrow(count, "doc_id long, hash long")
 
 
 def removal(words: np.ndarray, gone: np.ndarray, size: int) -> np.ndarray:
@@ -150,17 +152,24 @@ def removal(words: np.ndarray, gone: np.ndarray, size: int) -> np.ndarray:
 
 def _with_hashes(rows: DataFrame, key: str, docs: DataFrame, size: int) -> DataFrame:
     """rows with a column __gone: the lists of hashes to remove from the document in column key, null if there are none."""
-    found = repeated_windows(docs, size).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("hashes").alias("__gone"))
+    found = repeated_windows(docs, size).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("hash").alias("__gone"))
     return rows.join(found, rows[key].cast("long") == found["__id"], "left").drop("__id")
 
 
-def _cut(text: bytes, gone: list[bytes] | None, size: int) -> tuple[int, int, bytes, list[tuple[int, int]]]:
+def _gone(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The hashes to remove of each row, null if there are none."""
+    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[a:b] if b > a else None
+
+
+def _cut(text: bytes, gone: np.ndarray | None, size: int) -> tuple[int, int, bytes, list[tuple[int, int]]]:
     """Words, removed words, kept words joined by a space, and removed byte spans of one text."""
-    if not gone:
+    if gone is None:
         words = text.split()
         return len(words), 0, b" ".join(words), []
     starts, ends, hashes = word_hashes(text)
-    mask = removal(hashes, np.frombuffer(b"".join(gone), np.uint64), size)
+    mask = removal(hashes, gone, size)
     kept = b" ".join([text[s:e] for s, e in zip(starts[~mask].tolist(), ends[~mask].tolist(), strict=True)])
     step = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
     first, past = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -175,7 +184,7 @@ def digest(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, gone in zip(b.column(1).to_pylist(), _gone(b.column(2)), strict=True):
                 n, removed, kept, _ = _cut((text or "").encode(), gone, size)
                 for column, value in zip(out, (n, removed, hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
@@ -200,8 +209,8 @@ def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, gone in enumerate(b.column(len(schema)).to_pylist()):
-                if gone and texts[i]:
+            for i, gone in enumerate(_gone(b.column(len(schema)))):
+                if gone is not None and texts[i]:
                     data, parts, past = texts[i].encode(), [], 0
                     for s, e in _cut(texts[i].encode(), gone, size)[3]:
                         parts.append(data[past:s])
