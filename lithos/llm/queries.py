@@ -13,6 +13,7 @@ from lithos.llm import bpe, counts, html, langid, media, packing, secrets, simha
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, with_ids=False).drop("ids", "decoded")
+    return bpe.encode(_table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, with_ids=False).drop("ids", "decoded")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), JSON_FILE, with_ids=False).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, with_ids=False).drop("ids")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN, counts.revision())
+    return counts.count(_table(spark, sf_dir, "documents"), RANK_FILE, PATTERN, counts.revision())
 
 
 _QUERIES = (

@@ -16,7 +16,7 @@ import sys
 from collections.abc import Callable, Iterable
 
 #: Chunks in each of the two generations that a worker keeps.
-CACHE = 600_000
+CACHE = 250_000
 #: Chunks encoded as one text.
 JOINED = 2048
 #: Longer chunks are encoded each time.
@@ -39,7 +39,7 @@ class Generations:
     def __init__(self, limit: int) -> None:
         self._limit, self._young, self._old, self._long = limit, {}, {}, []
 
-    def fetch(self, keys: set[str], compute: Callable[[list[str]], Iterable]) -> dict:
+    def fetch(self, keys: set, compute: Callable[[list], Iterable]) -> dict:
         """A mapping with every key; compute gives the values of those that are not kept."""
         missing = keys.difference(self._young)
         if len(self._young) + len(missing) > self._limit:
@@ -93,6 +93,16 @@ class ChunkEncoder:
         return out
 
 
+class WholeEncoder:
+    """Texts to packed ids, one by one."""
+
+    def __init__(self, whole: Callable[[str], bytes]) -> None:
+        self._whole = whole
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return list(map(self._whole, texts))
+
+
 @functools.cache
 def by_tokenizers(file: str) -> ChunkEncoder:
     """Ids by the tokenizers library and a tokenizer file; special tokens' strings are ordinary text.
@@ -131,3 +141,12 @@ def read_ranks(file: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(file, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+@functools.cache
+def by_tiktoken(rank_file: str, pattern: str) -> WholeEncoder:
+    """Ids by the tiktoken library and a rank file, without special tokens; whole texts, no cache."""
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(rank_file), special_tokens={})
+    return WholeEncoder(lambda text: little_endian(encoding.encode_ordinary(text)))

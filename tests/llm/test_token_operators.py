@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from lithos.llm import bpe, counts, jpeg, media, packing
 from lithos.llm.queries import JSON_FILE, RANK_FILE
-from lithos.llm.tokens import by_tokenizers, cut, little_endian, read_ranks
+from lithos.llm.tokens import by_tiktoken, by_tokenizers, cut, little_endian, read_ranks
 
 PATTERN = public_tokenizers.PATTERN
 
@@ -58,6 +58,12 @@ def test_chunks_equal_whole_texts():
     own.encode_special_tokens = True
     for text, ids in zip(ODD, by_tokenizers(JSON_FILE).encode(ODD), strict=True):
         assert ids == little_endian(own.encode(text, add_special_tokens=False).ids)
+    assert by_tiktoken(RANK_FILE, PATTERN).encode(ODD) == by_tokenizers(JSON_FILE).encode(ODD)
+
+
+def test_libraries_agree_on_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert by_tiktoken(RANK_FILE, PATTERN).encode(texts) == by_tokenizers(JSON_FILE).encode(texts)
     assert cut(" a") is None and cut("a\n b") is None and cut("a 　b") is None and cut("a\nb c") == ["a\nb", "c"]
 
 
@@ -73,10 +79,11 @@ def test_differencing():
     assert all(sum([600, 600, 600][i] for i in w) <= 1024 for w in packing.spread([600, 600, 600]))
 
 
-def test_packing(spark, odd, empty):
+@pytest.mark.parametrize("vocabulary", [(JSON_FILE,), (RANK_FILE, PATTERN)])
+def test_packing(spark, odd, empty, vocabulary):
     own = Tokenizer.from_file(JSON_FILE)
     own.encode_special_tokens = True
-    rows = packing.pack(odd, JSON_FILE).collect()
+    rows = packing.pack(odd, *vocabulary).collect()
     used: dict[int, int] = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == used.get(r.sequence_id, 0)
@@ -88,7 +95,7 @@ def test_packing(spark, odd, empty):
     long = sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.start)
     ids = own.encode("word " * 3000, add_special_tokens=False).ids + [0]
     assert b"".join(bytes(r.ids) for r in long) == array.array("I", ids).tobytes()
-    assert packing.pack(empty, JSON_FILE).count() == 0
+    assert packing.pack(empty, *vocabulary).count() == 0
 
 
 @pytest.mark.parametrize("data", [bytes(64), b"\xff" * 192, bytes(range(256)), np.random.default_rng(1).integers(0, 256, 64 * 700, dtype=np.uint8).tobytes()])
