@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lithos.session import ship_package
 
 #: Rows in one Arrow batch handed to a Python worker; bounds a worker's memory.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def project(df: DataFrame, **want: str) -> DataFrame:

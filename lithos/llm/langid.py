@@ -42,7 +42,7 @@ SMOOTHING = 0.05
 #: Training words longer than this are left out; scoring takes words of any length.
 TRAIN_WORD = 30
 #: Words whose segmentations are summed together; bounds a worker's memory.
-WORDS = 16_384
+WORDS = 8_192
 #: Documents under this posterior are rejected by keep_known.
 LEAST_SCORE = 0.5
 
