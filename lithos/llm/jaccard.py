@@ -1,0 +1,192 @@
+"""Near-copy removal by five-word Jaccard similarity: min-hash candidates, checked exactly.
+
+A document is the set of its five-word shingles (words as in `simhash`; with fewer
+words the whole sequence is the one shingle), each a 64-bit hash. Two documents are
+near copies if their sets' Jaccard similarity is at least 0.8, counted on the whole
+sets. Documents of equal sets form one class and meet before anything else.
+
+Candidates: 24 bands of 4 min-hashes, so that a pair at exactly 0.8 shares a band
+with probability 1 - (1 - 0.8^4)^24 = 0.999997. In a bucket of up to SMALL classes
+all pairs are candidates. A larger one is dealt into parts of about PART; every
+class is paired with the bucket's least class and, in its part, with its neighbours
+by two orders, so pairs grow with the documents and not with a group's square.
+Pairs with the least class are checked first; of the rest only those whose classes
+are not yet connected.
+
+Defined results: as in `simhash.keep_one`; null text is a text without words, and
+texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lithos.llm.common import bounded, materialize, numbered, place, project
+from lithos.llm.simhash import components
+from lithos.llm.wordhash import mix, window_hashes, word_hashes
+
+SHINGLE = 5
+#: Similarity from which on two documents are near copies, as a ratio of integers.
+NEAR = (4, 5)
+BANDS, ROWS = 24, 4
+SMALL = 16
+PART = 256
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_FOLD = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles that are min-hashed in one go; bounds the memory of a very long text.
+_TOGETHER = 1 << 12
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    words = word_hashes((text or "").encode().lower())[2]
+    return np.unique(window_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
+def node_of(found: np.ndarray) -> int:
+    """A signed long that stands for a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One key a band: its min-hashes folded into a signed long."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _TOGETHER):
+        np.minimum(low, (found[at : at + _TOGETHER, None] * _TIMES + _PLUS).min(axis=0), out=low)
+    return mix((mix(low).reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted distinct arrays have a Jaccard similarity of at least NEAR."""
+    if min(len(a), len(b)) * NEAR[1] < max(len(a), len(b)) * NEAR[0]:
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * NEAR[1] >= (len(both) - shared) * NEAR[0]
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, node, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x) for x in b.column(1).to_pylist()]
+            nodes = pa.array([node_of(x) for x in found], pa.int64())
+            keys = pa.array([bands(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, keys], names=["doc_id", "node", "keys"])
+
+    return project(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, node long, keys array<long>")
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows (node, shingles) for the classes (node, rep) in needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = pa.array([node_of(shingles(x)) for x in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([own, b.column(0), b.column(1)], names=["node", "id", "text"])
+
+    texts = project(docs, doc_id="long", text="string").mapInArrow(nodes, "node long, id long, text string")
+    same = (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["rep"])
+    return texts.join(needed, same, "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def candidates(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
+    """Rows (a, b, first): pairs of nodes, a > b, that share a band; first marks pairs with a bucket's least node."""
+    dealt = classes.select("node", F.posexplode("keys").alias("band", "key"))
+    counts = dealt.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1")
+    parts = F.when(F.col("size") > small, F.ceil(F.col("size") / part)).otherwise(1)
+    buckets = (
+        dealt.join(counts, ["band", "key"])
+        .withColumn("part", F.pmod(F.xxhash64("node"), parts))
+        .groupBy("band", "key", "part")
+        .agg(F.collect_list("node").alias("nodes"), F.first("least").alias("least"), F.first("size").alias("size"))
+        .select("nodes", "least", "size", "key")
+    )
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right, first = [], [], []
+            for nodes, least, size, key in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                own = np.sort(np.array(nodes, np.int64))
+                if size <= small:
+                    i, j = np.triu_indices(len(own), 1)
+                    some = [(own[j], own[i])]
+                else:
+                    order = own[np.argsort(mix(own.view(np.uint64) ^ np.uint64(key & (1 << 64) - 1)))]
+                    some = [(own, np.full(len(own), least)), (own[1:], own[:-1]), (order[1:], order[:-1])]
+                for x, y in some:
+                    left.append(np.maximum(x, y))
+                    right.append(np.minimum(x, y))
+                    first.append(right[-1] == least)
+            if left:
+                a, c, f = np.concatenate(left), np.concatenate(right), np.concatenate(first)
+                keep = a != c
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep]), pa.array(f[keep])], names=["a", "b", "first"])
+
+    return buckets.mapInArrow(pairs, "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (np.frombuffer(x.as_buffer(), np.uint64) if len(x.as_buffer()) else np.empty(0, np.uint64) for c in (2, 3) for x in b.column(c))
+            found = list(at)
+            keep = pa.array([near(x, y) for x, y in zip(found[: b.num_rows], found[b.num_rows :], strict=True)], pa.bool_())
+            yield b.select([0, 1]).filter(keep)
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id and component_id, the smallest doc_id reached."""
+    bounded(docs.sparkSession)
+    prints = materialize(_prints(docs), "prints")
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    found = materialize(candidates(classes), "candidates")
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    reps = prints.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    sets = materialize(_sets(docs, reps.join(nodes, "node", "left_semi")), "sets")
+    edges = materialize(checked(found.filter("first"), sets), "near")
+    label = components(edges)
+    ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    apart = found.filter("not first").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    label = components(edges.unionByName(checked(apart, sets)))
+    reps = reps.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.select("doc_id", "node").join(reps.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest doc_id stays.
+
+    Rows without an id cannot be told apart and stay; of rows that repeat an id and
+    belong to one component, one stays.
+    """
+    found = classify(docs).filter(F.col("doc_id") != F.col("component_id"))
+    gone = found.select(F.col("doc_id").alias("__id")).distinct()
+    rows, own = numbered(docs), place(docs, "doc_id")
+    out = rows.join(gone, rows[own].cast("long") == gone["__id"], "left_anti")
+    ids = project(docs, doc_id="long").filter("doc_id is not null")
+    if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.filter(F.col(own).isNotNull()).dropDuplicates([own]).unionByName(out.filter(F.col(own).isNull()))
+    return out.toDF(*docs.columns)

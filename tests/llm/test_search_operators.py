@@ -170,6 +170,38 @@ def test_remove_keeps_columns(spark, docs, odd, empty):
     assert substring.remove(empty).count() == 0
 
 
+def test_pipeline_near_dedup_reaches_similarity_of_four_fifths(spark):
+    """Five-word Jaccard similarity 0.8 or more goes, less stays, in small groups and in one large group."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=200)
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 5, 6):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "new" + str(rng.random())
+            texts.append(copy)
+    base = rng.choices(vocabulary, k=200)
+    for i in range(60):
+        texts.append([*base[:100], f"only{i}", *base[101:]])
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == set(root)
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage on its own input: what must go goes, what is clean stays."""
     import corpus_pipeline
