@@ -170,6 +170,21 @@ def block_plan(spark: SparkSession, sf: str) -> DataFrame:
             CASE WHEN k."offset" + k.len + e.len > 300000 THEN 0 ELSE k."offset" + k.len END FROM k JOIN e ON e.shard = k.shard AND e.rn = k.rn + 1)
     SELECT id, shard, segment, "offset", shard * 65536 + segment AS file_id FROM k""", "vfiles"))
 def segment_rollover(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.files(spark, sf).filter("dir_id % 97 = 0").select("id", (F.col("line") % 4).alias("shard"), (F.col("size") + 60).alias("len"))
+    return _segments(catalog.files(spark, sf).filter("dir_id % 97 = 0"))
+
+
+def _segments(files: DataFrame) -> DataFrame:
+    rows = files.select("id", (F.col("line") % 4).alias("shard"), (F.col("size") + 60).alias("len"))
     out = packing.segment_rollover(rows, "shard", ["id"], "len", 300_000)
     return out.select("id", "shard", "segment", "offset", hashing.pack_locator(F.col("shard"), F.col("segment")).alias("file_id"))
+
+
+@query(with_views(
+    """, e AS (SELECT id, line % 4 AS shard, 60 + size AS len, row_number() OVER w AS rn, sum(60 + size) OVER w AS p FROM vfiles WINDOW w AS (PARTITION BY line % 4 ORDER BY id ROWS UNBOUNDED PRECEDING)),
+    j AS (SELECT a.shard, a.rn, a.p - a.len AS base, greatest(coalesce(b.rn, 0), a.rn) + 1 AS nxt FROM (SELECT *, p - len + 300000 AS reach FROM e) a ASOF LEFT JOIN e b ON a.shard = b.shard AND a.reach >= b.p),
+    RECURSIVE k AS (SELECT shard, rn, base, nxt, 0::BIGINT AS segment FROM j WHERE rn = 1
+        UNION ALL SELECT j.shard, j.rn, j.base, j.nxt, k.segment + 1 FROM k JOIN j ON j.shard = k.shard AND j.rn = k.nxt)
+    SELECT e.id, e.shard, k.segment, (e.p - e.len - k.base)::BIGINT AS "offset", e.shard * 65536 + k.segment AS file_id FROM e ASOF JOIN k ON e.shard = k.shard AND e.rn >= k.rn""", "vfiles"))
+def segment_rollover_all(spark: SparkSession, sf: str) -> DataFrame:
+    """segment_rollover over every file."""
+    return _segments(catalog.files(spark, sf))
