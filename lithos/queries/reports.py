@@ -197,13 +197,13 @@ _TASKS = """WITH e AS (SELECT user_id AS task, event_id AS seq, CASE user_id % 3
     s AS (SELECT task, kind, coalesce(arg_min(state, seq) FILTER (state IN ('completed', 'failed', 'killed', 'stopped')), arg_max(state, seq)) AS state, count(*)::BIGINT AS events FROM e GROUP BY task, kind)"""
 
 
-def _tasks(spark: SparkSession, sf: str) -> DataFrame:
+def _tasks(spark: SparkSession, sf: str, only: str = "event_id % 20 = user_id % 20") -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("scan", "backup", "restore"))), (F.col("user_id") % 3).cast("int"))
     kinds = {"view": "create", "signup": "start", "click": "run", "purchase": "stop"}
     event = F.when((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0), "exit_error")
     for name, what in kinds.items():
         event = event.when(F.col("event_type") == name, what)
-    rows = catalog.table(spark, sf, "events").filter("event_id % 20 = user_id % 20")
+    rows = catalog.table(spark, sf, "events").filter(only)
     return tasks.states(rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), kind.alias("kind"), event.otherwise("run").alias("event")), "task", "seq")
 
 
@@ -218,6 +218,22 @@ def task_limits(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.active_by_kind(_tasks(spark, sf), {"scan": 4, "subtask": 4})
 
 
+_ALL_TASKS = _TASKS.replace(" WHERE event_id % 20 = user_id % 20", "")
+
+
+@query(_ALL_TASKS + " SELECT task, kind, state, events FROM s")
+def task_state_machine_all(spark: SparkSession, sf: str) -> DataFrame:
+    """task_state_machine over every event."""
+    return _tasks(spark, sf, "true")
+
+
+@query(_ALL_TASKS + """ SELECT CASE WHEN kind = 'scan' THEN 'scan' ELSE 'subtask' END AS pool, count(*) FILTER (state IN ('created', 'starting', 'running', 'stopping'))::BIGINT AS active,
+    count(*)::BIGINT AS tasks, count(*) FILTER (state IN ('created', 'starting', 'running', 'stopping')) >= 4 AS refused FROM s GROUP BY 1""")
+def task_limits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """task_limits over every event."""
+    return tasks.active_by_kind(_tasks(spark, sf, "true"), {"scan": 4, "subtask": 4})
+
+
 @query("""
     SELECT s.conv_id, '1.0' AS version, 'common' AS format, 64::BIGINT AS blob_mib, count(*)::BIGINT AS subtasks, count(*) FILTER (role = 'user')::BIGINT AS succeeded
     FROM conversations s GROUP BY s.conv_id""")

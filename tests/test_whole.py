@@ -17,3 +17,11 @@ def test_segment_rollover_of_every_file(spark, sf):
         want[r.id] = (shard, segment, used)
         at[shard] = (segment, used + size)
     assert got == want
+
+
+def test_tasks_of_every_event(spark, sf):
+    events = catalog.table(spark, sf, "events")
+    rows = queries.QUERIES["task_state_machine_all"](spark, sf).collect()
+    assert sum(r.events for r in rows) == events.count()
+    assert {r.task for r in rows} == {r.user_id for r in events.select("user_id").distinct().collect()}
+    assert sum(r.tasks for r in queries.QUERIES["task_limits_all"](spark, sf).collect()) == len(rows)
