@@ -81,6 +81,13 @@ def depth_limit(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter(within_depth(F.col("depth"), 3) & (F.col("id") % 2 == 0))
 
 
+@query(with_views(f"SELECT id, path, len({_SEGS})::INTEGER AS depth FROM vurls WHERE len({_SEGS}) <= 3", "vurls"))
+def depth_limit_all(spark: SparkSession, sf: str) -> DataFrame:
+    """depth_limit over every page."""
+    rows = catalog.urls(spark, sf).select("id", "path", F.size(path_segments(F.col("path"))).alias("depth"))
+    return rows.filter(within_depth(F.col("depth"), 3))
+
+
 _RAW = "replace(path, '/', CASE id % 4 WHEN 0 THEN '/' WHEN 1 THEN '//' WHEN 2 THEN '/./' ELSE '/x/../' END) || CASE id % 3 WHEN 0 THEN '/..' WHEN 1 THEN '/' ELSE '' END"
 
 

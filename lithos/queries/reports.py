@@ -88,7 +88,7 @@ _KINDS = """WITH r AS (
     UNION ALL SELECT 'index', 'url', MAP {'url': url} FROM pages)"""
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str, only: str = "dir_id % 100 = 0") -> DataFrame:
     def kind(rows: DataFrame, name: str, type_, **fields) -> DataFrame:
         pairs = [c for k, v in fields.items() for c in (F.lit(k), v)]
         return rows.select(F.lit(name).alias("kind"), type_.alias("type"), F.create_map(*pairs).alias("fields"))
@@ -96,7 +96,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     docs = catalog.table(spark, sf, "documents")
     even = F.when(F.col("doc_id") % 2 == 0, "copy_file").otherwise("delete_file")
     return report.inspect_union(
-        kind(catalog.dirs(spark, sf).filter("dir_id % 100 = 0"), "metadata", F.lit("dir"), path=F.col("path"), mode=F.lit("755")),
+        kind(catalog.dirs(spark, sf).filter(only), "metadata", F.lit("dir"), path=F.col("path"), mode=F.lit("755")),
         kind(docs, "control", even, path=F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), diff=F.col("lang"), source=F.col("source")),
         kind(catalog.table(spark, sf, "pages"), "index", F.lit("url"), url=F.col("url")),
     )
@@ -120,6 +120,29 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ALL_KINDS = _KINDS.replace(" WHERE o_orderkey % 100 = 0", "")
+
+
+@query(_ALL_KINDS + """ SELECT kind, type, count(DISTINCT n)::BIGINT AS n, string_agg(DISTINCT k, ',' ORDER BY k) AS columns, max(length(v))::INTEGER AS width
+    FROM (SELECT kind, type, row_number() OVER () AS n, unnest(map_entries(fields)).key AS k, unnest(map_entries(fields)).value AS v FROM r) GROUP BY kind, type""")
+def inspect_union_all(spark: SparkSession, sf: str) -> DataFrame:
+    """inspect_union over every order."""
+    return report.group_records(_records(spark, sf, "true"))
+
+
+@query("""
+    SELECT 'metadata' AS kind, o_orderkey AS id, o_orderstatus AS status, NULL::VARCHAR AS lang, NULL::VARCHAR AS url FROM orders
+    UNION ALL SELECT 'control', doc_id, NULL, lang, NULL FROM documents UNION ALL SELECT 'index', page_id, NULL, NULL, url FROM pages""")
+def union_by_name_all(spark: SparkSession, sf: str) -> DataFrame:
+    """union_by_name over every order."""
+    t = lambda name: catalog.table(spark, sf, name)
+    return report.inspect_union(
+        t("orders").select(F.lit("metadata").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")),
+        t("documents").select(F.lit("control").alias("kind"), F.col("doc_id").alias("id"), "lang"),
+        t("pages").select(F.lit("index").alias("kind"), F.col("page_id").alias("id"), "url"),
+    )
+
+
 @query(with_views(
     """SELECT id, printf('%o', 33188 + line) AS mode, printf('%08X', hash % 4294967296) AS hash_hex, CASE WHEN size >= 1048576 THEN printf('%.2f MiB', size / 1048576.0::DOUBLE)
         WHEN size >= 1024 THEN printf('%.2f KiB', size / 1024.0::DOUBLE) ELSE size || ' B' END AS size_text,

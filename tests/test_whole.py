@@ -25,3 +25,16 @@ def test_tasks_of_every_event(spark, sf):
     assert sum(r.events for r in rows) == events.count()
     assert {r.task for r in rows} == {r.user_id for r in events.select("user_id").distinct().collect()}
     assert sum(r.tasks for r in queries.QUERIES["task_limits_all"](spark, sf).collect()) == len(rows)
+
+
+def test_reports_of_every_order(spark, sf):
+    orders = catalog.table(spark, sf, "orders").count()
+    found = {(r.kind, r.type): r.n for r in queries.QUERIES["inspect_union_all"](spark, sf).collect()}
+    assert found["metadata", "dir"] == orders
+    assert queries.QUERIES["union_by_name_all"](spark, sf).filter("kind = 'metadata'").count() == orders
+
+
+def test_depth_limit_of_every_page(spark, sf):
+    want = {r.id for r in catalog.urls(spark, sf).collect() if len([x for x in r.path.split("/") if x]) <= 3}
+    assert {r.id for r in queries.QUERIES["depth_limit_all"](spark, sf).collect()} == want
+    assert any(i % 2 for i in want)
