@@ -25,7 +25,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_table(spark, sf_dir, "documents"), RANK_FILE)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
