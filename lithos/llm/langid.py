@@ -3,8 +3,8 @@
 Each language gives every piece of a fixed public vocabulary a probability. The
 probability of a word is the sum over all its segmentations into pieces of the
 product of their probabilities (forward algorithm); a text's score is the product
-over its words. Words are runs of letters, lower-cased, and start with the
-vocabulary's word mark. Probabilities are learned by EM from labelled documents.
+over its words. Words are runs of letters (Unicode category L) and the marks (M) on
+them, lower-cased, and start with the vocabulary's word mark. Probabilities are learned by EM from labelled documents.
 
 Scale. The model is fitted on at most about DOCS_PER_LANG documents per language,
 drawn by a hash of doc_id (a documented bound; whole texts); statistics for the
@@ -12,7 +12,8 @@ draw are counted over all documents. Scoring is one pass without a shuffle: the
 distinct words of a batch are scored together in numpy. What goes to the
 executors is one float per piece and language.
 
-Defined results: null text, or one without a letter, is `und` with score 0; if no
+Defined results: null text, or one without a letter (numerals such as a half or a
+circled one are none), is `und` with score 0; if no
 labelled document can be learned from, every text is `und`; equal scores go to the
 first language by name; a null doc_id is neither held out nor learned from;
 repeated rows are predicted alike; other columns are ignored or, in `keep_known`,
@@ -24,6 +25,8 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,15 +42,24 @@ UNDETERMINED = "und"
 DOCS_PER_LANG = 400
 EM_ROUNDS = 4
 SMOOTHING = 0.05
-#: Training words longer than this are left out; scoring takes words of any length.
-TRAIN_WORD = 30
 #: Words whose segmentations are summed together; bounds a worker's memory.
 WORDS = 8_192
 #: Documents under this posterior are rejected by keep_known.
 LEAST_SCORE = 0.5
 
 _MARK = "▁"
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _classes(*kinds: str) -> str:
+    """The characters whose Unicode category starts with one of kinds, as the inside of a character class."""
+    own = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    first = [c for c, before in zip(own, [-2, *own], strict=False) if c != before + 1]
+    last = [c for c, after in zip(own, [*own[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True))
+
+
+#: Runs of letters and the marks that belong to them, with at least one letter; numerals are none.
+_WORDS = re.compile(f"[{_classes('M')}]*[{_classes('L')}][{_classes('L', 'M')}]*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 
@@ -130,42 +142,53 @@ class Lattice:
                 if len(hit):
                     yield hit, end[hit] - size, piece[hit]
 
-    def forward(self, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward sums by slot, and the log probability of each word (in the order given)."""
+    def forward(self, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward sums by slot, the logarithm of their scale by slot, and the log probability of each word (in the order given)."""
         langs = chance.shape[1]
         alpha = np.zeros((self.slots, langs))
         alpha[self.start] = 1
-        scale = np.zeros(len(self.start))
+        scale = np.zeros((self.slots, langs))
         for t in range(1, int(self.sizes[0]) + 1 if len(self.sizes) else 0):
             active = int(np.searchsorted(-self.sizes, -t, side="right"))
             total = np.zeros((active, langs))
             for word, slot, piece in self._edges(t, active):
                 total[word] += alpha[slot] * chance[piece]
-            alpha[self.start[:active] + t] = total
+            here = self.start[:active] + t
+            alpha[here] = total
+            scale[here] = scale[here - 1]
             if t % 16 == 0 and t >= 32:  # long words would underflow
-                top = np.maximum(total.max(axis=1), 1e-300)
-                scale[:active] += np.log(top)
+                top = np.where(total > 0, total, 1.0)
                 for back in range(min(t, len(self.match)) + 1):
-                    alpha[self.start[:active] + t - back] /= top[:, None]
+                    alpha[here - back] /= top
+                    scale[here - back] += np.log(top)
         out = np.empty((len(self.start), langs))
         with np.errstate(divide="ignore"):
-            out[self.order] = np.log(alpha[self.start + self.sizes]) + scale[:, None]
-        return alpha, np.maximum(out, -1e6)
+            out[self.order] = np.log(alpha[self.start + self.sizes]) + scale[self.start + self.sizes]
+        return alpha, scale, np.maximum(out, -1e6)
 
     def expected(self, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts under chance; weight: word by language. Words as long as in training need no rescaling."""
-        alpha, _ = self.forward(chance)
+        """Expected piece counts under chance; weight: word by language."""
+        alpha, scale, _ = self.forward(chance)
+        last = self.start + self.sizes
         beta = np.zeros_like(alpha)
-        beta[self.start + self.sizes] = 1
-        total = np.maximum(alpha[self.start + self.sizes], 1e-300)
-        share = weight[self.order] / total
+        beta[last] = 1
+        whole = scale[last]
+        passed = np.zeros_like(whole)  # the logarithm of beta's scale at the place reached
+        share = weight[self.order] / np.maximum(alpha[last], 1e-300)
         counts = np.zeros_like(chance)
         for t in range(int(self.sizes[0]) if len(self.sizes) else 0, 0, -1):
             active = int(np.searchsorted(-self.sizes, -t, side="right"))
-            ends = beta[self.start[:active] + t]
+            here = self.start[:active] + t
+            if t % 16 == 0:
+                top = np.where(beta[here] > 0, beta[here], 1.0)
+                for back in range(min(t, len(self.match)) + 1):
+                    beta[here - back] /= top
+                passed[:active] += np.log(top)
+            ends = beta[here]
             for word, slot, piece in self._edges(t, active):
                 flow = chance[piece] * ends[word]
-                np.add.at(counts, piece, alpha[slot] * flow * share[word])
+                level = np.exp(np.minimum(scale[slot] + passed[word] - whole[word], 700.0))
+                np.add.at(counts, piece, alpha[slot] * flow * share[word] * level)
                 beta[slot] += flow
         return counts
 
@@ -215,7 +238,7 @@ class Model:
         logs = np.empty((len(names), len(self.langs)))
         for at in range(0, len(names), WORDS):
             part = names[at : at + WORDS]
-            logs[[number[w] for w in part]] = self.finder.lattice(part).forward(self.chance)[1]
+            logs[[number[w] for w in part]] = self.finder.lattice(part).forward(self.chance)[2]
         size = np.array(sizes, np.int64)
         total = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(size)
@@ -232,7 +255,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
     """Learn from documents with a lang and a text that are not held out."""
     bounded(docs.sparkSession)
     rows = project(docs, doc_id="long", text="string", lang="string")
-    known = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("doc_id").alias("n")).collect()}
     pieces = vocabulary(model_file)
     if not sizes:
@@ -244,7 +267,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
         seen: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in _WORDS.findall(text.lower()) if len(w) <= TRAIN_WORD)
+                seen.update((lang, w) for w in _WORDS.findall(text.lower()))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())],
@@ -252,7 +275,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
         )
 
     counted = (
-        known.filter(F.col("text").isNotNull() & (chance < drawn[F.col("lang")]))
+        known.filter(chance < drawn[F.col("lang")])
         .select("text", "lang")
         .mapInArrow(count, "lang string, word string, n long")
         .groupBy("lang", "word")
