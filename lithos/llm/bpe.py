@@ -160,10 +160,10 @@ class Codec:
         pieces = list(map(cut, texts))
         tails = tails_of(pieces)
         known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo]))
-        heads = self._chunks([t if ps is None else ps[0] for t, ps in zip(texts, pieces, strict=True)])
+        heads = self._chunks([ps[0] for ps in pieces])
         out = []
         for head, ps in zip(heads, pieces, strict=True):
-            both = [head, *([known[p] for p in ps[1:]] if ps else ())]
+            both = [head, *[known[p] for p in ps[1:]]]
             out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
         self._cache.drop_long()
         return out

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lithos.llm.common import bounded, project
-from lithos.llm.tokens import by_tiktoken, by_tokenizers, little_endian
+from lithos.llm.tokens import encoder, little_endian
 
 WINDOW = 1024
 #: Most ids in a piece that is no full window.
@@ -118,24 +118,22 @@ def _pack(docs: list[tuple[int | None, bytes]], sequence: int, with_ids: bool) -
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED), sequence
 
 
-def pack(docs: DataFrame, *vocabulary: str, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    vocabulary: a file of the tokenizers library, or a rank file and its pattern, for tiktoken. For one
-    vocabulary both give the same ids; tiktoken takes half the time.
-
+    tokenizer_file: a file of the tokenizers library, whose ids are taken (strings of its added tokens included).
     with_ids adds ids, the piece's unsigned 32-bit little-endian integers; without it the column is null.
     """
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = by_tiktoken(*vocabulary) if len(vocabulary) > 1 else by_tokenizers(*vocabulary)
+        own = encoder(tokenizer_file)
         end = little_endian([END])
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         size = 0
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), own.encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= GROUP_TOKENS:

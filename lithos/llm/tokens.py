@@ -1,8 +1,8 @@
-"""Token ids of whole texts by public byte-level BPE vocabularies.
+"""Token ids of whole texts by a tokenizer file of a public byte-level BPE vocabulary.
 
 A text is cut at each single space between two characters that are not white
 space; such a space always starts a pre-token, so the cut is exact. The chunks
-of a batch are looked up in a cache, and only unseen ones are encoded.
+of a text are looked up in a cache, and only unseen ones are encoded.
 """
 
 from __future__ import annotations
@@ -15,14 +15,19 @@ import re
 import sys
 from collections.abc import Callable, Iterable
 
-#: Chunks in each of the two generations that a worker keeps.
-CACHE = 250_000
+import numpy as np
+
+#: Chunks that a worker keeps, or in each of the two generations; characters count as well, 16 for a chunk.
+CACHE = 400_000
 #: Chunks encoded as one text.
 JOINED = 2048
+#: Chunks looked up at a time.
+TOGETHER = 1 << 18
 #: Longer chunks are encoded each time.
 CACHED_CHUNK = 64
 # A space beside white space or at an end of the text.
 _ODD = re.compile(r" (?:(?=\s)|(?<=\s )|\Z)")
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -61,92 +66,123 @@ class Generations:
             self._young.pop(k, None)
 
 
-def cut(text: str) -> list[str] | None:
-    """The text's chunks, all but the first without their leading space; None if it cannot be cut."""
-    return None if text[:1] == " " or _ODD.search(text) else text.split(" ")
+def cut(text: str) -> list[str]:
+    """The text's chunks, all but the first without their leading space."""
+    return _BORDER.split(text) if text[:1] == " " or _ODD.search(text) else text.split(" ")
 
 
-def tails_of(pieces: list[list[str] | None]) -> set[str]:
-    """The distinct chunks of texts but for first ones and texts that were not cut."""
+def tails_of(pieces: list[list[str]]) -> set[str]:
+    """The distinct chunks of texts but for first ones."""
     out: set[str] = set()
     for ps in pieces:
-        if ps:
-            out.update(ps[1:])
+        out.update(ps[1:])
     return out
 
 
-class ChunkEncoder:
-    """Texts to packed ids; whole encodes texts, chunks encodes texts whose only space is their first character."""
-
-    def __init__(self, whole: Callable[[list[str]], list[bytes]], chunks: Callable[[list[str]], list[bytes]], cache: int = CACHE) -> None:
-        self._whole, self._chunks, self._cache = whole, chunks, Generations(cache)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed by little_endian."""
-        pieces = list(map(cut, texts))
-        tails = tails_of(pieces)
-        known = self._cache.fetch(tails, lambda todo: self._chunks([" " + p for p in todo])).__getitem__
-        # first chunks, which have no space, and texts that were not cut
-        heads = self._whole([t if ps is None else ps[0] for t, ps in zip(texts, pieces, strict=True)])
-        out = [h if ps is None else h + b"".join(map(known, ps[1:])) for h, ps in zip(heads, pieces, strict=True)]
-        self._cache.drop_long()
-        return out
+class _Numbers(dict):
+    """A running number for each chunk, given when it is first asked for."""
 
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
-class WholeEncoder:
-    """Texts to packed ids, one by one."""
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = number = len(self)
+        return number
 
-    def __init__(self, whole: Callable[[str], bytes]) -> None:
-        self._whole = whole
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return list(map(self._whole, texts))
-
-
-@functools.cache
-def by_tokenizers(file: str) -> ChunkEncoder:
-    """Ids by the tokenizers library and a tokenizer file; special tokens' strings are ordinary text.
+class Encoder:
+    """Texts to packed ids, as the tokenizers library gives them without the special tokens that frame a text.
 
-    Unseen chunks are encoded many at a time, as one text: each starts with its only
-    space, so the tokens that start with a space tell where each chunk's ids begin.
+    The ids of the chunks met so far stand one after another in one array; a text's ids are taken from there.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import numpy as np
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
-    size = t.get_vocab_size()
-    spaced = np.array([(t.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+    def __init__(self, file: str, cache: int = CACHE) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self._all = Tokenizer.from_file(file)
+        self._added = [t.content for t in self._all.get_added_tokens_decoder().values()]
+        space = "".join(w for w, _ in self._all.pre_tokenizer.pre_tokenize_str(" "))
+        size = self._all.get_vocab_size()
+        self._spaced = np.array([(self._all.id_to_token(i) or "").startswith(space) for i in range(size)])
+        self._limit = cache
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number, self._chars = _Numbers(), 0
+        self._start, self._size, self._ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._all.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks and note where the ids of each stand."""
+        ids, size = self._joined(chunks)
+        self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(size) - size))
+        self._size, self._ids = np.concatenate((self._size, size)), np.concatenate((self._ids, ids))
+        self._chars += sum(map(len, chunks))
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number for each chunk: chunks without a space inside go many at a time as one text, in which each starts with the only space."""
+        sizes, found = [], []
+        at = 0
+        while at < len(chunks):
+            to = min(len(chunks), at + JOINED)
+            text = " " + " ".join(chunks[at:to])
+            if text.count(" ") != to - at:  # a chunk with a space inside
+                to = next((k for k in range(at, to) if " " in chunks[k]), to)
+                text = " " + " ".join(chunks[at:to])
+            if to > at:
+                ids = np.array(self._whole([text])[0], "<u4")
+                starts = np.flatnonzero(self._spaced[ids])
+                if len(starts) != to - at:
+                    raise ValueError("the vocabulary does not mark chunk starts by a leading space")
+                sizes.append(np.diff(np.append(starts, len(ids))))
+            else:
+                to = at + 1
+                ids = np.array(self._whole([" " + chunks[at]])[0], "<u4")
+                sizes.append(np.array([len(ids)]))
+            found.append(ids)
+            at = to
+        return np.concatenate(found), np.concatenate(sizes)
 
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed by little_endian."""
+        # the library cuts a text at the strings of added tokens first, and such texts are rare
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in self._added)}
+        pieces = [[""] if i in odd else cut(t) for i, t in enumerate(texts)]
+        heads = self._whole([texts[i] if i in odd else ps[0] for i, ps in enumerate(pieces)])
+        chunks = [p for ps in pieces for p in ps[1:]]
+        ends = np.cumsum([len(ps) - 1 for ps in pieces])
+        out = [[little_endian(head)] for head in heads]
+        for at in range(0, len(chunks), TOGETHER):
+            ids, past = self._looked_up(chunks[at : at + TOGETHER])
+            first, last = np.searchsorted(ends, (at, at + len(past) - 1), side="right").tolist()
+            cuts = past[np.minimum(ends[first:last], at + len(past)) - at - 1].tolist()
+            for i, x, y in zip(range(first, last + 1), [0, *cuts], [*cuts, len(ids)], strict=True):
+                out[i].append(ids[x:y].tobytes())
+        return [b"".join(parts) for parts in out]
+
+    def _looked_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after another, and where each chunk's end."""
+        if max(len(self._number), self._chars // 16) > self._limit:
+            self._clear()
+        number = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks))
+        if self._number.new:
+            self._learn(self._number.new)
+            self._number.new = []
+        start, size = self._start[number], self._size[number]
+        past = np.cumsum(size)
+        return self._ids[np.repeat(start - past + size, size) + np.arange(int(past[-1]))], past
 
-    def chunks(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), JOINED):
-            part = texts[at : at + JOINED]
-            ids = np.array(whole(["".join(part)])[0], "<u4")
-            starts = np.flatnonzero(spaced[ids])
-            if len(starts) != len(part):
-                raise ValueError("the vocabulary does not mark chunk starts by a leading space")
-            raw, cut = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            out.extend([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
-        return out
 
-    return ChunkEncoder(lambda texts: list(map(little_endian, whole(texts))), chunks)
+@functools.cache
+def encoder(file: str) -> Encoder:
+    return Encoder(file)
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(file, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-
-
-@functools.cache
-def by_tiktoken(rank_file: str, pattern: str) -> WholeEncoder:
-    """Ids by the tiktoken library and a rank file, without special tokens; whole texts, no cache."""
-    import tiktoken
-
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(rank_file), special_tokens={})
-    return WholeEncoder(lambda text: little_endian(encoding.encode_ordinary(text)))

@@ -9,11 +9,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lithos.llm import bpe, counts, jpeg, media, packing
 from lithos.llm.queries import JSON_FILE, RANK_FILE
-from lithos.llm.tokens import by_tiktoken, by_tokenizers, cut, little_endian, read_ranks
+from lithos.llm.tokens import cut, encoder, little_endian, read_ranks
 
 PATTERN = public_tokenizers.PATTERN
 
@@ -53,18 +55,36 @@ def test_bpe_query_and_decode(spark, odd, empty, tik):
     assert bpe.encode(empty, RANK_FILE, PATTERN).count() == 0
 
 
-def test_chunks_equal_whole_texts():
-    own = Tokenizer.from_file(JSON_FILE)
-    own.encode_special_tokens = True
-    for text, ids in zip(ODD, by_tokenizers(JSON_FILE).encode(ODD), strict=True):
-        assert ids == little_endian(own.encode(text, add_special_tokens=False).ids)
-    assert by_tiktoken(RANK_FILE, PATTERN).encode(ODD) == by_tokenizers(JSON_FILE).encode(ODD)
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|", "a <|endoftext|>b\n"]
+
+
+def test_encoder_equals_the_library():
+    plain = Tokenizer.from_file(JSON_FILE)
+    every = [chr(c) for c in range(0x250)]
+    texts = [*ODD, *SPECIAL, "".join(every), " ".join(every), " x".join(every), "if x:\n        y  =  1 # it's\n\n", "  lead and trail  "]
+    own = encoder(JSON_FILE)
+    assert own.encode(SPECIAL[:1]) == [little_endian([64, 220, 50256, 275])]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids == little_endian(plain.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab Z'sré漢1٣½\n\t \x1c\x85　.,<|é\u0301🙂")))
+def test_encoder_equals_the_library_on_any_text(text):
+    plain = Tokenizer.from_file(JSON_FILE)
+    assert encoder(JSON_FILE).encode([text, "x " + text]) == [little_endian(plain.encode(t, add_special_tokens=False).ids) for t in (text, "x " + text)]
+
+
+def test_encoder_equals_the_library_on_documents(spark):
+    plain = Tokenizer.from_file(JSON_FILE)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    want = [little_endian(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert encoder(JSON_FILE).encode(texts) == want
 
 
-def test_libraries_agree_on_documents(spark):
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    assert by_tiktoken(RANK_FILE, PATTERN).encode(texts) == by_tokenizers(JSON_FILE).encode(texts)
-    assert cut(" a") is None and cut("a\n b") is None and cut("a 　b") is None and cut("a\nb c") == ["a\nb", "c"]
+def test_cut():
+    assert cut(" a") == [" a"] and cut("a\n b") == ["a\n b"] and cut("a 　b c") == ["a 　b", "c"] and cut("a\nb c") == ["a\nb", "c"]
+    assert cut("") == [""] and cut("a  b c ") == ["a  b", "c "]
 
 
 def test_differencing():
@@ -79,11 +99,10 @@ def test_differencing():
     assert all(sum([600, 600, 600][i] for i in w) <= 1024 for w in packing.spread([600, 600, 600]))
 
 
-@pytest.mark.parametrize("vocabulary", [(JSON_FILE,), (RANK_FILE, PATTERN)])
-def test_packing(spark, odd, empty, vocabulary):
+def test_packing(spark, docs, odd, empty):
     own = Tokenizer.from_file(JSON_FILE)
-    own.encode_special_tokens = True
-    rows = packing.pack(odd, *vocabulary).collect()
+    odd = odd.union(docs([(90 + i, t) for i, t in enumerate(SPECIAL)]))
+    rows = packing.pack(odd, JSON_FILE).collect()
     used: dict[int, int] = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == used.get(r.sequence_id, 0)
@@ -95,7 +114,7 @@ def test_packing(spark, odd, empty, vocabulary):
     long = sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.start)
     ids = own.encode("word " * 3000, add_special_tokens=False).ids + [0]
     assert b"".join(bytes(r.ids) for r in long) == array.array("I", ids).tobytes()
-    assert packing.pack(empty, *vocabulary).count() == 0
+    assert packing.pack(empty, JSON_FILE).count() == 0
 
 
 @pytest.mark.parametrize("data", [bytes(64), b"\xff" * 192, bytes(range(256)), np.random.default_rng(1).integers(0, 256, 64 * 700, dtype=np.uint8).tobytes()])
