@@ -16,14 +16,21 @@ part), so a task holds one index block and one part of the queries, both of
 bounded size. With few index blocks the queries are split into more parts to fill
 the cores. Per query and block only k rows go on, and Spark ranks those.
 
-Defined results: a vector that is null, empty or holds a null or non-finite
-component takes no part, nor does a row with a null id; of rows that repeat an
-id, the one with the least vector counts; a query only meets rows of its own
-dimension; other columns are ignored; an empty table gives an empty result.
+Defined results: a vector that is null or holds a null or non-finite component takes
+no part, nor does a row with a null id; empty vectors meet each other with score 0;
+rows that repeat an id are rows of their own, as queries and as candidates, alike or
+not (rows alike in id and vector are counted, not repeated, until the end; vectors of
+one id are told apart by 128 bits of BLAKE2 where results are ranked); a component
+beyond 64 bits after scaling counts as the nearest 64-bit integer; scores are added up
+in as many slices as they need, and one beyond 64 bits is given, and ranked among
+blocks, as the nearest 64-bit integer; a query only meets rows of its own dimension;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,27 +51,23 @@ TASKS = 24
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """Rows (vec_id, v): floor(scale * x) of each component as int; rows that take no part are left out."""
+    """Rows (vec_id, v, copies): floor(scale * x) of each component, and how many rows are alike; rows that take no part are left out."""
     rows = project(vectors, vec_id="long", embedding="array<double>")
-    limit = float((1 << 31) // scale - 1)
-    fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(
-        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)
-    )
-    kept = rows.filter(F.coalesce(fit, F.lit(False)))
-    whole = kept.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("int")).alias("v"))
-    return whole.groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
+    return kept.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale)).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def build(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Slices of a block: the least value of each dimension, and per dimension a (bits, words) array of bitmaps."""
     low = values.min(axis=0)
-    above = (values - low).astype(np.uint32)
+    above = values.view(np.uint64) - low.view(np.uint64)  # modulo 2^64, so right for every range
     pad = -len(ids) % 64
     slices = []
     for d in range(values.shape[1]):
         column = above[:, d]
         width = int(column.max()).bit_length()
-        bits = (column[None, :] >> np.arange(width, dtype=np.uint32)[:, None]) & np.uint32(1)
+        bits = (column[None, :] >> np.arange(width, dtype=np.uint64)[:, None]) & np.uint64(1)
         packed = np.packbits(np.pad(bits.astype(np.uint8), ((0, 0), (0, pad))), axis=1, bitorder="little")
         slices.append(np.ascontiguousarray(packed).view(np.uint64))
     return low, slices
@@ -75,7 +78,7 @@ def scores(query: np.ndarray, low: np.ndarray, slices: list[np.ndarray], words:
 
     A negative component -q on slices of width b is q on the complements: -q * x = q * (2^b - 1 - x) - q * (2^b - 1).
     """
-    constant = int(query.astype(np.int64) @ low.astype(np.int64))
+    constant = sum(q * x for q, x in zip(query.tolist(), low.tolist(), strict=True))
     at: list[list[np.ndarray]] = []
     for q, part in zip(query.tolist(), slices, strict=True):
         if not q or not len(part):
@@ -142,28 +145,49 @@ def select(score: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((first, rows(tied)[: k - len(first)]))
 
 
-def _values(score: list[np.ndarray], rows: np.ndarray, constant: int) -> np.ndarray:
-    out = np.full(len(rows), constant, np.int64)
+def _values(score: list[np.ndarray], rows: np.ndarray, constant: int) -> list[int]:
+    """The scores of some rows, exactly."""
     word, bit = rows >> 6, (rows & 63).astype(np.uint64)
+    out = [constant] * len(rows)
     for weight, part in enumerate(score):
-        out += ((part[word] >> bit) & np.uint64(1)).astype(np.int64) << weight
+        for k in np.flatnonzero((part[word] >> bit) & np.uint64(1)).tolist():
+            out[k] += 1 << weight
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in the narrowest of 1, 2, 4 and 8 bytes that holds them all."""
+    kinds = (k for k in ("<i1", "<i2", "<i4") if not values.size or (values.min() >= np.iinfo(k).min and values.max() <= np.iinfo(k).max))
+    return values.astype(next(kinds, "<i8")).tobytes()
+
+
+def _unpacked(raw: bytes, rows: int, dims: int) -> np.ndarray:
+    width = len(raw) // max(1, rows * dims)
+    return np.frombuffer(raw, f"<i{width or 1}").reshape(rows, dims).astype(np.int64)
+
+
 def _blocks(rows: DataFrame, number: Column, name: str) -> DataFrame:
-    """Rows gathered into blocks: (name, dims, ids, v); ids ascending, v the values row by row."""
+    """Rows gathered into blocks: (name, dims, ids, v, copies); ids ascending, v the values row by row."""
 
     def gather(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         v = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in table.column("v")]).reshape(len(ids), -1)
+        packed = (ids[order].astype("<i8").tobytes(), _packed(v[order]), _packed(table.column("copies").to_numpy()[order]))
         return pa.table({
             name: table.column("n")[:1].combine_chunks(), "dims": pa.array([v.shape[1]], pa.int32()),
-            "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "v": pa.array([v[order].astype("<i4").tobytes()], pa.binary()),
+            **{k: pa.array([x], pa.binary()) for k, x in zip(("ids", "v", "copies"), packed, strict=True)},
         })
 
-    dealt = rows.select(number.alias("n"), F.size("v").alias("dims"), "vec_id", "v")
-    return dealt.groupBy("n", "dims").applyInArrow(gather, f"{name} long, dims int, ids binary, v binary")
+    dealt = rows.select(number.alias("n"), F.size("v").alias("dims"), "vec_id", "v", "copies")
+    return dealt.groupBy("n", "dims").applyInArrow(gather, f"{name} long, dims int, ids binary, v binary, copies binary")
+
+
+def _own(ids: np.ndarray, values: np.ndarray, name: int, query: np.ndarray) -> int:
+    """The row of a block that is the query itself, or -1."""
+    first, past = np.searchsorted(ids, name), np.searchsorted(ids, name, side="right")
+    same = np.flatnonzero((values[first:past] == query).all(axis=1))
+    return int(first + same[0]) if len(same) else -1
 
 
 def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -177,39 +201,55 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, scale
     total = project(vectors, vec_id="long").count()
     index_blocks = max(1, -(-total // BLOCK_ROWS))
     parts = max(1, -(-TASKS // index_blocks), -(-total // (QUERY_STEP * PART_QUERIES)))
-    row_block = F.pmod(F.xxhash64("vec_id"), F.lit(index_blocks))
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(max(parts, -(-total // (QUERY_STEP * QUERY_ROWS)))))
-    index = _blocks(rows, row_block, "block").select("block", "dims", F.col("ids").alias("row_ids"), F.col("v").alias("rows"))
+    row_block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(index_blocks))
+    query_block = F.pmod(F.xxhash64("vec_id", "v", F.lit("q")), F.lit(max(parts, -(-total // (QUERY_STEP * QUERY_ROWS)))))
+    index = _blocks(rows, row_block, "block").select(
+        "block", "dims", F.col("ids").alias("row_ids"), F.col("v").alias("rows"), F.col("copies").alias("row_copies")
+    )
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     queries = _blocks(rows.filter(is_query), query_block, "query_block").select(
-        "dims", F.col("ids").alias("query_ids"), F.col("v").alias("queries"), (F.col("query_block") % parts).cast("int").alias("part")
-    )
+        "dims", F.col("ids").alias("query_ids"), F.col("v").alias("queries"), F.col("copies").alias("query_copies"),
+        (F.col("query_block") % parts).cast("int").alias("part"),
+    )
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))))
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: dict[str, list] = {n: [] for n in ("query_id", "query", "query_copies", "vec_id", "score", "copies")}
         if block.num_rows and part.num_rows:
             ids = np.frombuffer(block.column("row_ids")[0].as_py(), "<i8")
-            low, slices = build(ids, np.frombuffer(block.column("rows")[0].as_py(), "<i4").reshape(len(ids), -1))
+            dims = block.column("dims")[0].as_py()
+            values = _unpacked(block.column("rows")[0].as_py(), len(ids), dims)
+            copies = _unpacked(block.column("row_copies")[0].as_py(), len(ids), 1)[:, 0]
+            low, slices = build(ids, values)
             words = -(-len(ids) // 64)
             real = np.full(words, np.uint64(0xFFFFFFFFFFFFFFFF))
             if len(ids) % 64:
                 real[-1] = np.uint64((1 << (len(ids) % 64)) - 1)
-            for names, values in zip(part.column("query_ids").to_pylist(), part.column("queries").to_pylist(), strict=True):
+            for names, packed, many in zip(*(part.column(c).to_pylist() for c in ("query_ids", "queries", "query_copies")), strict=True):
                 query_ids = np.frombuffer(names, "<i8")
-                for name, query in zip(query_ids.tolist(), np.frombuffer(values, "<i4").reshape(len(query_ids), -1), strict=True):
+                own_copies = _unpacked(many, len(query_ids), 1)[:, 0].tolist()
+                for name, query, alike in zip(query_ids.tolist(), _unpacked(packed, len(query_ids), dims), own_copies, strict=True):
                     among = real.copy()
-                    own = int(np.searchsorted(ids, name))
-                    if own < len(ids) and ids[own] == name:
+                    own = _own(ids, values, name, query)
+                    if own >= 0 and alike == 1:  # of rows that are alike, each still meets the others
                         among[own >> 6] &= ~np.uint64(1 << (own & 63))
                     total, constant = scores(query, low, slices, words)
                     top = select(total, among, k)
-                    out[0].append(np.full(len(top), name))
-                    out[1].append(ids[top])
-                    out[2].append(_values(total, top, constant))
-        return pa.table({n: np.concatenate([np.empty(0, np.int64), *c]) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                    out["query_id"].extend([name] * len(top))
+                    out["query"].extend([hashlib.blake2b(query.tobytes(), digest_size=16).digest()] * len(top))
+                    out["query_copies"].extend([alike] * len(top))
+                    out["vec_id"].extend(ids[top].tolist())
+                    out["score"].extend([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in _values(total, top, constant)])
+                    out["copies"].extend([min(int(copies[t]) - (t == own), k) for t in top.tolist()])
+        kinds = {"query": pa.binary()}
+        return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in out.items()})
 
     keys = ("block", "part", "dims")
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
+        run, "query_id long, query binary, query_copies long, vec_id long, score long, copies long"
+    )
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    ranked = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    alike = F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_copies")))
+    return ranked.select("query_id", "rank", "vec_id", "score", alike.alias("alike")).drop("alike")

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lithos.llm import simhash, substring, topk
+from lithos.llm.queries import oracle_sql
 
 
 def _brute_top(rows, k):
@@ -31,22 +32,40 @@ def test_topk(spark, n):
     assert got == _brute_top(rows, 20)
 
 
+def _by_oracle(table):
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("embeddings", table.toArrow())
+    return sorted(db.sql(oracle_sql()["op4_topk"]).fetchall())
+
+
 def test_topk_edges(spark):
-    bad = [(None, [1.0, 2.0]), (20, None), (40, []), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0])]
-    good = [(0, [0.5, -1.0]), (0, [0.5, -1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])]
-    table = spark.createDataFrame(bad + good, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(table, k=2).collect())
-    assert got == [(0, 1, 3, 0), (0, 2, 1, -2048)]
+    bad = [(None, [1.0, 2.0]), (20, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0])]
+    good = [(0, [0.5, -1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (40, []), (41, []), (120, [4e7, 1.0]), (140, [-1e6, 3e5]), (7, [0.25])]
+    again = [(0, [0.5, -1.0]), (0, [2.0, 2.0]), (2, [1.0, 1.0]), *[(160, [0.125, 0.5])] * 30]
+    table = spark.createDataFrame(bad + good + again, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(table).collect())
+    assert got == _by_oracle(table)
+    assert (40, 1, 41, 0) in got and any(q == 120 for q, *_ in got) and any(v == 120 for _, _, v, _ in got)
+    assert sum(q == 160 for q, *_ in got) == 30 * 20
     assert topk.search(table.limit(0)).count() == 0
 
 
+def test_topk_beyond_64_bits(spark):
+    table = spark.createDataFrame([(0, [1e300, -1e17]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1e16, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.search(table).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 def test_bit_sliced_scores():
     rng = np.random.default_rng(0)
-    values = rng.integers(-50, 51, (700, 9))
-    low, slices = topk.build(np.arange(700), values)
-    for q in (values[3], np.zeros(9, int), rng.integers(-127, 128, 9)):
-        total, constant = topk.scores(q, low, slices, 11)
-        assert (topk._values(total, np.arange(700), constant) == values @ q).all()
+    for top in (50, 1 << 40, 1 << 63):
+        values = rng.integers(-top, top, (700, 9), dtype=np.int64)
+        low, slices = topk.build(np.arange(700), values)
+        for q in (values[3], np.zeros(9, int), rng.integers(-127, 128, 9)):
+            total, constant = topk.scores(q, low, slices, 11)
+            assert topk._values(total, np.arange(700), constant) == [sum(a * b for a, b in zip(q.tolist(), v, strict=True)) for v in values.tolist()]
 
 
 def _print(text):
