@@ -18,13 +18,14 @@ spanning forest is sent on, so edges grow with the fingerprints, not with pairs.
 Components: alternating large-star and small-star steps, each written to the
 shared folder, until the edges no longer change.
 
-Copies meet before the join: it runs over distinct fingerprints, each standing
-for its documents by the smallest doc_id.
-
-Defined results: null text is a text without words; rows that repeat a doc_id
-each give a row; a row with a null doc_id gets a component_id like any other,
-which is null only if no row of its component has an id; other columns are
-ignored or, in `keep_one`, carried; an empty table gives an empty result.
+Copies meet before the join: it runs over distinct fingerprints, and a component's
+smallest doc_id is looked up afterwards, so any 64-bit id can stand there.
+
+Defined results: null text is a text without words; rows that repeat a doc_id are
+documents of their own and each give a row; a row with a null doc_id gets a
+component_id like any other, which is null only if no row of its component has an
+id; other columns are ignored or, in `keep_one`, carried; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -45,8 +46,6 @@ BUDGET = 2
 SEED = 42
 #: A bucket of more fingerprints is dealt again by the bits that it leaves open.
 HOT = 1024
-#: Documents without an id stand behind every id while classes are formed.
-_NO_ID = 1 << 62
 #: Fingerprints whose tries are joined in one go.
 _TOGETHER = 1 << 16
 _PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -164,23 +163,21 @@ def _open_bits(fp: Column, pair: Column) -> Column:
 
 
 def links(classes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """Rows (a, b), a > b: links between class representatives that connect what the budget connects.
+    """Rows (a, b), a > b: links between fingerprints that connect what the budget connects.
 
-    classes: (fp, rep), distinct in both. Needs budget <= 2.
+    classes: distinct fingerprints (fp). Needs budget <= 2.
     """
     if not 0 <= budget <= 2:
         raise ValueError("the block scheme holds for at most 2 differing bits")
-    dealt = classes.select("fp", "rep", F.explode(_deal(F.col("fp"), 16)).alias("k")).select(
-        "fp", "rep", F.col("k.n").alias("n"), F.col("k.bits").alias("bits")
-    )
+    dealt = classes.select("fp", F.explode(_deal(F.col("fp"), 16)).alias("k")).select("fp", F.col("k.n").alias("n"), F.col("k.bits").alias("bits"))
     counts = dealt.groupBy("n", "bits").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     once = F.array(F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("bits")))
     again = F.when(F.col("size") > hot, _deal(_open_bits(F.col("fp"), F.col("n")), 8)).otherwise(once)
     buckets = (
         dealt.join(counts, ["n", "bits"])
-        .select("fp", "rep", "n", "bits", F.explode(again).alias("m"))
+        .select("fp", "n", "bits", F.explode(again).alias("m"))
         .groupBy("n", "bits", "m")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
+        .agg(F.collect_list("fp").alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
     )
@@ -189,25 +186,18 @@ def links(classes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame
         for b in batches:
             lists = b.column(0)
             offsets = np.asarray(lists.offsets, dtype=np.int64)
-            flat = lists.values
-            fps = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            reps = flat.field("rep").to_numpy(zero_copy_only=False)
+            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             at = 0
             while at < len(offsets) - 1:
                 to = max(int(np.searchsorted(offsets, offsets[at] + _TOGETHER, side="right")) - 1, at + 1)
                 groups = offsets[at : to + 1] - offsets[at]
-                span = slice(offsets[at], offsets[to])
                 owner = np.repeat(np.arange(to - at), np.diff(groups))
-                order = np.lexsort((fps[span], owner))
-                i, j = trie_pairs(fps[span][order], groups, budget)
-                rep = reps[span][order]
-                label = spanning(len(rep), i, j)
-                # the root of a component is its first node; its edges go to the least representative
-                least = np.full(len(rep), np.iinfo(np.int64).max)
-                np.minimum.at(least, label, rep)
-                root = least[label]
-                far = rep != root
-                yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(root[far])], names=["a", "b"])
+                fps = flat[offsets[at] : offsets[to]]
+                fps = fps[np.lexsort((fps, owner))]
+                label = spanning(len(fps), *trie_pairs(fps, groups, budget))
+                far = np.flatnonzero(label != np.arange(len(fps)))
+                a, c = fps.view(np.int64)[far], fps.view(np.int64)[label[far]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["a", "b"])
                 at = to
 
     return buckets.mapInArrow(join, "a long, b long").distinct()
@@ -244,17 +234,17 @@ def components(edges: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reached)."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    # a stand-in id for a class without ids: beyond every id, distinct by fingerprint
-    no_id = F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
-    classes = materialize(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", F.coalesce("rep", no_id).alias("rep")), "classes"
-    )
-    # repeated rows can make one doc_id the least of two classes; such classes share a node
-    found = components(links(classes, budget)) if budget else None
-    one = classes if found is None else classes.join(found, classes["rep"] == found["node"], "left")
-    component = F.col("rep") if found is None else F.coalesce("component", "rep")
-    one = one.select("fp", F.when(component < _NO_ID, component).alias("component_id"))
-    return prints.join(one, "fp").select("doc_id", u64_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    if budget:
+        found = components(links(prints.select("fp").distinct(), budget))
+        members = classes.join(found, classes["fp"] == found["node"])
+        least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
+        linked = found.join(least, "component").select("node", "component_id")
+        classes = classes.join(linked, classes["fp"] == linked["node"], "left")
+        classes = classes.select("fp", F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    else:
+        classes = classes.withColumnRenamed("rep", "component_id")
+    return prints.join(classes, "fp").select("doc_id", u64_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

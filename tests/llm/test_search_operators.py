@@ -115,8 +115,8 @@ def test_links_connect_what_the_budget_connects(spark, hot):
     for _ in range(150):
         base ^= sum(1 << random.randrange(64) for _ in range(random.choice([1, 2, 3])))  # chains of small steps
         near.add(base & (1 << 64) - 1)
-    prints = dict(enumerate(sorted(near)))
-    rows = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()], "fp long, rep long")
+    prints = {p - (1 << 64) if p >> 63 else p: p for p in near}
+    rows = spark.createDataFrame([(p,) for p in prints], "fp long")
     found = {r.node: r.component for r in simhash.components(simhash.links(rows, hot=hot)).collect()}
     want = _components(prints, 2)
     assert {i: found.get(i, i) for i in prints} == want
@@ -142,6 +142,14 @@ def test_simhash(spark, odd, empty):
     assert {r.component_id for r in simhash.classify(lone).collect()} == {None}
 
 
+def test_simhash_takes_every_id(docs):
+    ids = [(1 << 62) + 5, (1 << 62) + 9, (1 << 63) - 1, -(1 << 63), -3]
+    found = {r.doc_id: r.component_id for r in simhash.classify(docs([(i, f"one text {k // 2} of two copies") for k, i in enumerate(ids)])).collect()}
+    assert found == {ids[0]: ids[0], ids[1]: ids[0], ids[2]: ids[3], ids[3]: ids[3], ids[4]: ids[4]}
+    kept = simhash.keep_one(docs([(i, "the very same text") for i in ids[:2]]))
+    assert [r.doc_id for r in kept.collect()] == [ids[0]]
+
+
 def _brute_substring(rows, size):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
