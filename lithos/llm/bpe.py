@@ -7,43 +7,55 @@ rank of every word until no word changes. Ordered aggregation over the rows of
 the fixpoint gives a word's ids and, joined with the vocabulary, its decoded bytes.
 
 A recursive query keeps the rows of all its steps, which a long word would make
-grow with the square of its length. Words above LONG bytes therefore take the step
-as a statement that replaces its table, run until nothing changes; as a contraction
-makes no pair of lower rank, that step contracts all places of the pair of least
-rank, from the left and without overlap.
+grow with the square of its length, so words above PLAIN bytes are taken apart first.
+They are cut wherever no token of the vocabulary, as it would lie in the text, spans
+the place: no contraction can cross it. What is still above LONG bytes (letters
+without rhyme, encoded data) is contracted in blocks that overlap by half, and the
+blocks are joined at a place in the overlap where both have a token border and the
+two tokens beside it, contracted as one word, stay two tokens. A sequence of tokens of
+which each neighbouring pair stays as it is under contraction is the contraction of
+the whole. If there is no such place the blocks grow, up to the whole word; blocks
+above LONG take the step as a statement over all of them that replaces their table.
 
 Scale: one pass without a shuffle. Memory is bounded by the Arrow batch, the cache
 of CACHE chunks, and DuckDB's memory limit.
 
 Defined results: null text counts as empty; an empty text has no ids (n_tokens 0,
-digests of the empty string); a null doc_id is carried; repeated rows give equal
-rows; other columns are ignored.
+digests of the empty string); words of any length and script take time in proportion
+to their length; a null doc_id is carried; repeated rows give equal rows; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lithos.llm.common import bounded, project
 from lithos.llm.tokens import Generations, cut, read_ranks, tails_of
 
-#: Words above this many bytes are contracted by statements instead of one recursive query.
+#: Words above this many bytes are cut where no token can span.
+PLAIN = 24
+#: Most bytes of a word in a recursive query.
 LONG = 64
+#: Bytes of the first blocks of a longer word.
+BLOCK = 32
 #: Chunks and words in each of the two generations that a worker keeps.
 CACHE = 450_000
 #: Words in one recursive query.
 WORDS = 40_000
 MEMORY = "400MB"
 
-#: One step for long words: the rows of tokens (word, pos, tok) after contraction, none if nothing changes.
+#: One step for long words: the rows of tokens (word, pos, tok) after contraction; done if nothing in the word changes any more.
 _STEP = """
-    SELECT w, pos, CASE WHEN here THEN m ELSE tok END AS tok
+    SELECT w, pos, CASE WHEN here THEN m ELSE tok END AS tok, least IS NULL AS done
     FROM (
         SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY pos), false) AS eaten
         FROM (
@@ -59,7 +71,7 @@ _STEP = """
                             row_number() OVER (PARTITION BY w ORDER BY pos) AS idx
                         FROM tokens
                     ) p LEFT JOIN merges ON l = tok AND r = nxt
-                ) WHERE least IS NOT NULL
+                )
             )
         )
     ) WHERE NOT eaten
@@ -115,7 +127,11 @@ class Codec:
         self._db.execute("CREATE TABLE merges AS SELECT * FROM t")
         self._db.register("t", names)
         self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM t")
-        self._cache, self._words = Generations(CACHE), Generations(CACHE)
+        self._cache, self._words, self._parts = Generations(CACHE), Generations(CACHE), Generations(CACHE)
+        self._tokens = {id_: t for t, id_ in ranks.items()}
+        # what spans a border between bytes: whole tokens of 2 and 3 bytes, or any 4 neighbouring bytes of a token
+        self._spans = {n: np.array(sorted({int.from_bytes(t) for t in ranks if len(t) == n}), np.uint32) for n in (2, 3)}
+        self._spans[4] = np.array(sorted({int.from_bytes(t[k : k + 4]) for t in ranks for k in range(len(t) - 3)}), np.uint32)
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -132,27 +148,102 @@ class Codec:
         found = self._db.sql(sql).to_arrow_table()
         return list(zip(found.column("ids").to_pylist(), found.column("bytes").to_pylist(), strict=True))
 
+    def _cut(self, word: bytes) -> list[bytes]:
+        """The word cut wherever no token can span."""
+        raw = np.frombuffer(word, np.uint8).astype(np.uint32)
+        spanned = np.zeros(len(raw) + 1, bool)
+        code = raw
+        for n in (2, 3, 4):
+            code = code[:-1] * np.uint32(256) + raw[n - 1 :]
+            known = self._spans[n]
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+            for k in range(1, n):
+                spanned[at + k] = True
+        cuts = [0, *(np.flatnonzero(~spanned[1:-1]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(cuts)]
+
     def _contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Each word's ids in decimal, a space before each, and its bytes as decoded from the ids."""
-        out: dict[bytes, tuple[bytes, bytes]] = {}
-
-        def keep(part: list[bytes], found: list[tuple[str, str]]) -> None:
-            out.update((w, (f" {ids}".encode(), bytes.fromhex(raw))) for w, (ids, raw) in zip(part, found, strict=True))
+        cut = [[w] if len(w) <= PLAIN else self._cut(w) for w in words]
+        parts = {p for ps in cut if len(ps) > 1 for p in ps}
+        known = self._parts.fetch(parts, self._contract_parts) if parts else {}
+        whole = [ps[0] for ps in cut if len(ps) == 1]
+        found = dict(zip(whole, self._contract_parts(whole), strict=True))
+        out = [found[ps[0]] if len(ps) == 1 else tuple(b"".join(x) for x in zip(*map(known.__getitem__, ps), strict=True)) for ps in cut]
+        self._parts.drop_long()
+        return out
 
+    def _contract_parts(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        out: dict[bytes, tuple[bytes, bytes]] = {}
         short = sorted((w for w in words if len(w) <= LONG), key=len)  # words of a query need about as many steps
         for at in range(0, len(short), WORDS):
             part = short[at : at + WORDS]
             self._db.register("tokens", self._rows(part))
-            keep(part, self._query(_RECURSIVE))
-        for word in words:
-            if len(word) > LONG:
-                self._db.register("tokens", self._rows([word]))
-                while True:
-                    after = self._db.sql(_STEP).to_arrow_table()
-                    if not after.num_rows:
-                        break
-                    self._db.register("tokens", after)
-                keep([word], self._query(_FIXPOINT))
+            out.update(zip(part, self._joined(self._query(_RECURSIVE)), strict=True))
+        long = [w for w in words if len(w) > LONG]
+        if long:
+            ids = self._contract_long(long)
+            size = list(map(len, ids))
+            rows = {"w": np.repeat(np.arange(len(long)), size), "pos": np.arange(sum(size)), "tok": np.concatenate(ids)}
+            self._db.register("tokens", pa.table(rows))
+            out.update(zip(long, self._joined(self._query(_FIXPOINT)), strict=True))
+        return [out[w] for w in words]
+
+    @staticmethod
+    def _joined(found: list[tuple[str, str]]) -> list[tuple[bytes, bytes]]:
+        return [(f" {ids}".encode(), bytes.fromhex(raw)) for ids, raw in found]
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of distinct words, each contracted as a whole."""
+        short, long = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
+        out = {w: list(map(int, ids.split())) for w, (ids, _) in zip(short, self._contract_parts(short), strict=True)}
+        for at in range(0, len(long), WORDS):
+            part = long[at : at + WORDS]
+            tokens = self._rows(part).select(["w", "pos", "tok"])
+            while tokens.num_rows:
+                self._db.register("tokens", tokens)
+                after = self._db.sql(_STEP).to_arrow_table()
+                done = after.filter(after.column("done")).sort_by([("w", "ascending"), ("pos", "ascending")])
+                w, ids = done.column("w").to_numpy(), done.column("tok").to_numpy()
+                cuts = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist(), len(w)] if len(w) else []
+                out.update((part[w[a]], ids[a:b].tolist()) for a, b in itertools.pairwise(cuts))
+                tokens = after.filter(pc.invert(after.column("done"))).select(["w", "pos", "tok"])
+        return out
+
+    def _contract_long(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words by blocks that overlap by half, joined where two tokens stay apart."""
+        out: dict[bytes, list[int]] = {}
+        size, left = BLOCK, list(dict.fromkeys(words))
+        while left:
+            blocks = {w: [w[a : a + size] for a in range(0, max(1, len(w) - size // 2), size // 2)] for w in left}
+            found = self._ids(list({b for bs in blocks.values() for b in bs}))
+            # candidates for each seam: place in the right block, number of tokens before it in both, the two tokens
+            seams: dict[tuple[bytes, int], list[tuple[int, int, bytes, bytes]]] = {}
+            for w, bs in blocks.items():
+                for k in range(len(bs) - 1):
+                    a, b = found[bs[k]], found[bs[k + 1]]
+                    ends = {e - size // 2: i + 1 for i, e in enumerate(itertools.accumulate(len(self._tokens[t]) for t in a))}
+                    near = [(e, ends[e], j) for j, e in enumerate(itertools.accumulate((len(self._tokens[t]) for t in b), initial=0)) if 0 < e < size // 2 and e in ends]
+                    near.sort(key=lambda x: abs(x[0] - size // 4))
+                    seams[w, k] = [(i, j, self._tokens[a[i - 1]], self._tokens[b[j]]) for _, i, j in near]
+            apart: dict[tuple[bytes, bytes], bool] = {}
+            chosen: dict[tuple[bytes, int], tuple[int, int]] = {}
+            turn = 0
+            while open_ := [s for s in seams if s not in chosen and len(seams[s]) > turn]:
+                asked = {seams[s][turn][2:] for s in open_} - apart.keys()
+                both = self._ids(list({x + y for x, y in asked}))
+                apart.update((p, [self._tokens[t] for t in both[p[0] + p[1]]] == list(p)) for p in asked)
+                chosen.update((s, seams[s][turn][:2]) for s in open_ if apart[seams[s][turn][2:]])
+                turn += 1
+            again = []
+            for w, bs in blocks.items():
+                if any((w, k) not in chosen for k in range(len(bs) - 1)):
+                    again.append(w)
+                    continue
+                cuts = [chosen[w, k] for k in range(len(bs) - 1)]
+                starts, ends = [0, *(j for _, j in cuts)], [*(i for i, _ in cuts), None]
+                out[w] = [t for b, x, y in zip(bs, starts, ends, strict=True) for t in found[b][x:y]]
+            left, size = again, size * 4
         return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:

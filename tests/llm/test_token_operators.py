@@ -3,6 +3,7 @@
 import array
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +44,39 @@ def test_bpe_equals_tiktoken(tik):
         assert raw == text.encode()
 
 
+_RNG = random.Random(8)
+LONG_WORDS = {
+    "letters": "".join(_RNG.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)),
+    "base64": "".join(_RNG.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=20_000)),
+    "one letter": "a" * 50_000,
+    "lines": "-" * 9_000 + "=" * 3_000 + " " * 2_000 + "x",
+    "period": "abc" * 9_000 + "ÃÂ" * 900,
+    "prose": ("thequickbrownfoxjumpsoverthelazydog" * 40 + "antidisestablishmentarianism") * 4,
+    "chinese": " ".join("".join(chr(_RNG.randint(0x4E00, 0x9FA5)) for _ in range(50)) for _ in range(60)),
+    "thai": " ".join("".join(chr(_RNG.randint(0xE01, 0xE3A)) for _ in range(60)) for _ in range(60)),
+    "kana": "".join(chr(_RNG.randint(0x3041, 0x3093)) for _ in range(4_000)),
+    "mixed": "".join(_RNG.choice(["the", "ing", "漢", "é", "ß", "ตั", "x", "qu", "あ", "🙂"]) for _ in range(4_000)),
+}
+
+
+@pytest.mark.parametrize("kind", LONG_WORDS)
+def test_bpe_of_long_words(tik, kind):
+    text = LONG_WORDS[kind]
+    began = time.process_time()
+    ((ids, raw),) = bpe.codec(RANK_FILE, PATTERN).encode([text])
+    assert time.process_time() - began < 20
+    assert ids.decode().split() == [str(i) for i in tik.encode_ordinary(text)]
+    assert raw == text.encode()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "the", "ing", "zz", "q", "漢", "字", "é", "ÃÂ", "--", "==", "aaaa", "tion", "7", "ü"]), min_size=10, max_size=120))
+def test_bpe_of_any_long_word(tik, parts):
+    text = "".join(parts)
+    ((ids, _),) = bpe.codec(RANK_FILE, PATTERN).encode([text])
+    assert ids.decode().split() == [str(i) for i in tik.encode_ordinary(text)]
+
+
 def test_bpe_query_and_decode(spark, odd, empty, tik):
     found = bpe.encode(odd, RANK_FILE, PATTERN)
     texts = sorted((r.text or "" for r in odd.collect()))
