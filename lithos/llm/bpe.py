@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lithos.llm.common import bounded, project
-from lithos.llm.tokens import Generations, cut, read_ranks, tails_of
+from lithos.llm.tokens import Generations, Spans, cut, read_ranks, tails_of
 
 #: Words above this many bytes are cut where no token can span.
 PLAIN = 24
@@ -129,9 +129,7 @@ class Codec:
         self._db.execute("CREATE TABLE vocabulary AS SELECT * FROM t")
         self._cache, self._words, self._parts = Generations(CACHE), Generations(CACHE), Generations(CACHE)
         self._tokens = {id_: t for t, id_ in ranks.items()}
-        # what spans a border between bytes: whole tokens of 2 and 3 bytes, or any 4 neighbouring bytes of a token
-        self._spans = {n: np.array(sorted({int.from_bytes(t) for t in ranks if len(t) == n}), np.uint32) for n in (2, 3)}
-        self._spans[4] = np.array(sorted({int.from_bytes(t[k : k + 4]) for t in ranks for k in range(len(t) - 3)}), np.uint32)
+        self._spans = Spans(ranks)
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -150,15 +148,7 @@ class Codec:
 
     def _cut(self, word: bytes) -> list[bytes]:
         """The word cut wherever no token can span."""
-        raw = np.frombuffer(word, np.uint8).astype(np.uint32)
-        spanned = np.zeros(len(raw) + 1, bool)
-        code = raw
-        for n in (2, 3, 4):
-            code = code[:-1] * np.uint32(256) + raw[n - 1 :]
-            known = self._spans[n]
-            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
-            for k in range(1, n):
-                spanned[at + k] = True
+        spanned = self._spans.of(word)
         cuts = [0, *(np.flatnonzero(~spanned[1:-1]) + 1).tolist(), len(word)]
         return [word[a:b] for a, b in itertools.pairwise(cuts)]
 

@@ -186,3 +186,29 @@ def read_ranks(file: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(file, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class Spans:
+    """Tells where a token of a vocabulary, as it would lie in a text, spans a border between two bytes.
+
+    Where none does, no merge crosses the border. Whole tokens of 2 and 3 bytes count, and any
+    4 neighbouring bytes of a token, so that a border is judged by 3 bytes on either side.
+    """
+
+    def __init__(self, ranks: Iterable[bytes]) -> None:
+        own = list(ranks)
+        self._codes = {n: np.array(sorted({int.from_bytes(t) for t in own if len(t) == n}), np.uint32) for n in (2, 3)}
+        self._codes[4] = np.array(sorted({int.from_bytes(t[k : k + 4]) for t in own for k in range(len(t) - 3)}), np.uint32)
+
+    def of(self, data: bytes) -> np.ndarray:
+        """A mask over the places 0 to len(data)."""
+        raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+        out = np.zeros(len(raw) + 1, bool)
+        code = raw
+        for n, known in self._codes.items():
+            code = code[:-1] * np.uint32(256) + raw[n - 1 :]
+            if len(known):
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+                for k in range(1, n):
+                    out[at + k] = True
+        return out

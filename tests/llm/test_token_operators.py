@@ -229,26 +229,68 @@ def test_media(spark, odd, empty):
     assert media.store(empty).count() == 0
 
 
+def _tree(text):
+    return counts.CountTree(text, counts.counter(RANK_FILE, PATTERN), counts.borders(RANK_FILE))
+
+
+_PIECES = ["", " ", "\n", "  x", "a b c ", "'s", "'", "ll", "9", " hello world", "　", "word " * 80, "漢字かな", "漢" * 300, "é", "!?", "\x1c", "x\n" * 200, "½", "\t \n"]
+
+
 def test_count_tree_equals_full_count():
     count = counts.counter(RANK_FILE, PATTERN)
     random.seed(3)
-    for text in ["", "a", " ", "one two three " * 200, "x" * 3000, "a\n\n b " * 300]:
-        tree = counts.CountTree(text, count)
-        for _ in range(40):
+    chinese = "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(6000))
+    for text in ["", "a", " ", "one two three " * 200, "x" * 3000, "a\n\n b " * 300, "item\n" * 500, chinese, "it's 'll 12ab," * 200, " \n" * 900]:
+        tree = _tree(text)
+        for _ in range(60):
             a = random.randint(0, len(text))
-            b = min(len(text), a + random.choice([0, 0, 1, 5, 40, 600]))
-            new = random.choice(["", " ", "\n", "  x", "a b c ", "'s", "9", " hello world", "　", "word " * 80])
+            b = min(len(text), a + random.choice([0, 0, 1, 2, 5, 40, 600]))
+            new = random.choice(_PIECES)
             tree.replace(a, b, new)
             text = text[:a] + new + text[b:]
             assert (tree.text(), tree.tokens, tree.chars) == (text, count(text), len(text))
 
 
-def test_small_edit_encodes_little():
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "'", "s", "ll", "re", " ", "\n", "\x1c", "\x85", "　", "1", "½", "!", "漢", "字", "é", "\u0301", "🙂"]), max_size=60), st.data())
+def test_cuts_keep_the_count(parts, data):
+    count, text = counts.counter(RANK_FILE, PATTERN), "".join(parts)
+    for size in (1, 2, 3):
+        leaves = counts.borders(RANK_FILE).leaves(text, size)
+        assert "".join(leaves) == text and sum(map(count, leaves)) == count(text)
+    tree = _tree(text)
+    for _ in range(6):
+        a = data.draw(st.integers(0, len(text)))
+        b = min(len(text), a + data.draw(st.integers(0, 4)))
+        new = "".join(data.draw(st.lists(st.sampled_from(parts or ["x"]), max_size=4)))
+        tree.replace(a, b, new)
+        text = text[:a] + new + text[b:]
+        assert (tree.text(), tree.tokens) == (text, count(text))
+
+
+@pytest.mark.parametrize("text", [
+    "some words here " * 6000, "item\n" * 20_000, "".join(chr(random.Random(1).randint(0x4E00, 0x9FA5) + k % 7) for k in range(100_000)),
+    "".join(random.Random(2).choices("的一是不了人我在有他这中大来上国个到说们", k=100_000)), "a1" * 50_000, "x;y=" * 25_000,
+])
+def test_small_edit_encodes_little(text):
+    tree = _tree(text)
+    assert tree.n_leaves > 100
+    for at, new in ((40_000, "other"), (70_001, ""), (10, "漢字")):
+        before = tree.encoded_chars
+        tree.replace(at, at + 4, new)
+        assert tree.encoded_chars - before < 2000
+
+
+def test_many_insertions_spread_the_leaves():
     count = counts.counter(RANK_FILE, PATTERN)
-    tree = counts.CountTree("some words here " * 5000, count)
-    before = tree.encoded_chars
-    tree.replace(40_000, 40_004, "other")
-    assert tree.encoded_chars - before < 4 * counts.LEAF
+    tree, text = _tree("start and end"), "start and end"
+    for k in range(400):
+        at = (k * 7919) % (len(text) + 1)
+        new = f" new text number {k} " * 20
+        tree.replace(at, at, new)
+        text = text[:at] + new + text[at:]
+    assert (tree.text(), tree.tokens) == (text, count(text))
+    assert tree.encoded_chars < 12 * len(text)
 
 
 def test_counts(spark, odd, empty):
