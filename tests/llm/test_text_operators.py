@@ -47,6 +47,59 @@ def test_unclosed_furniture_ends_at_the_article():
     assert html.main_text("<nav><a>Home</a><article><p>Text</article>") == "Text"
 
 
+LINE = "Some words of the story stand in this line, and some more of them. "
+LAYOUTS = {
+    "wrapper": (f'<div class="content-sidebar-right"><p>{LINE}<p>{LINE}</div>', [LINE, LINE]),
+    "wrapper of article": (f'<div class="layout two-sidebar"><div class=sidebar>x</div><article><p>{LINE}</article></div>', [LINE]),
+    "wrapper with furniture": (f'<div id=page class="two-sidebar"><nav>n</nav><p>{LINE * 3}<div class="ad">Buy</div><p>End.</div>', [LINE * 3, "End."]),
+    "section named after comments": (f'<article><section class="comment-on-law"><p>{LINE}</section></article>', [LINE]),
+    "readers write more than the author": (f"<article><h1>T</h1><p>{LINE}<div class=comments><p>{LINE * 30}<p>{LINE * 30}</div></article>", ["T", LINE]),
+    "page in a form": (f"<form id=aspnetForm><p>{LINE * 4}<input></form>", [LINE * 4]),
+    "formula": (f"<article><p>{LINE}<math><mi>x</mi></math> is it.</article>", [LINE + "x is it."]),
+    "link between lines": (f"<p>{LINE}<p><a>a long title of a linked document</a><p>{LINE}", [LINE, "a long title of a linked document", LINE]),
+    "link in a line": (f"<p>{LINE}<p>See <a>a long title of a linked document</a>.<p>{LINE}", [LINE, "See a long title of a linked document.", LINE]),
+    "menu without a name": ("<ul>" + "<li><a>Menu entry</a>" * 5 + f"</ul><p>{LINE * 3}<p>{LINE * 3}<ul>" + "<li><a>Menu entry</a>" * 5 + "</ul><p>(c) me", [LINE * 3] * 2),
+    "links end an article": (f"<article><p>{LINE}<ul>" + "<li><a>Other story</a>" * 5 + "</ul></article>", [LINE]),
+    "links inside an article": (f"<article><p>{LINE}<ul>" + "<li><a>Other story</a>" * 2 + f"</ul><p>{LINE}</article>", [LINE, "Other story", "Other story", LINE]),
+    "late section": (f"<p>{LINE * 3}<p>{LINE * 2}<ul>" + "<li><a>Menu entry</a>" * 5 + f"</ul><p>{LINE}", [LINE * 3, LINE * 2, LINE]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html.main_text(page) == "\n".join(x.strip() for x in want)
+
+
+def test_windows_decide(monkeypatch):
+    """Without the windows, or without surge and dive, the texts are others."""
+    want = {name: html.main_text(page) for name, (page, _) in LAYOUTS.items()}
+
+    def others():
+        return {name for name, (page, _) in LAYOUTS.items() if html.main_text(page) != want[name]}
+
+    with monkeypatch.context() as m:  # lines on their own
+        m.setattr(html, "window_sums", lambda weights: weights)
+        assert {"link between lines", "links inside an article"} <= others()
+    with monkeypatch.context() as m:  # one window over all
+        m.setattr(html, "WINDOW", 1000)
+        assert {"late section", "menu without a name"} <= others()
+    with monkeypatch.context() as m:  # no threshold
+        m.setattr(html, "SURGE", 0.0)
+        assert "menu without a name" in others()
+    with monkeypatch.context() as m:  # names count, whatever the distribution says
+        m.setattr(html, "LEFT_OVER", -1.0)
+        assert {"wrapper", "section named after comments", "page in a form"} <= others()
+
+
+@pytest.mark.parametrize("part", ['<a title="', '<a title=">', "<title>", "<svg>", "<", "<!-- ", "<div class=ad>x", "<div>x", "<a b='c\">", "&", "<b", "<select>y", "x<br>", "</p>", "<p class='ad'>y</p>"])
+def test_time_is_linear_in_a_broken_page(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 4
+
+
 def test_extract(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (3, "v", "", 3)], "page_id long, url string, html string, TEXT int")
     found = html.extract(rows).collect()
