@@ -1,22 +1,24 @@
-"""Words of byte texts and their hashes, computed for whole batches with numpy.
+"""Words of byte texts and their hashes.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its hash is a
-polynomial in its bytes modulo 2^64, mixed; windows roll the word hashes in the
-manner of Rabin and Karp.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Its hash is XXH3 of its
+bytes in 128 bits, kept as two lanes of 64; windows roll each lane's word hashes in the
+manner of Rabin and Karp, modulo 2^64.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+from xxhash import xxh3_128_digest
 
-#: Bytes hashed at a time; a longer text is cut at white space, a longer word stays whole.
+#: Bytes whose words are hashed at a time; a longer text is cut at white space, a longer word stays whole.
 CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-# Odd multipliers and, for the first, its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: Odd multipliers, one a lane.
+_BASE = np.array([0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,23 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        _POWERS.extend((_powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)))
-    if n <= CHUNK + 1:
-        return _POWERS[0], _POWERS[1]
-    return _powers(_BASE, n), _powers(_INVERSE, n)
-
-
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-end byte of each word."""
     space = _SPACE[np.frombuffer(data, np.uint8)]
@@ -52,34 +37,24 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, past-the-end byte and hash of each word of data."""
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8)
-    out = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):
-        at = int(starts[first])
-        last = max(int(np.searchsorted(ends, at + CHUNK, side="right")), first + 1)
-        to = int(ends[last - 1])
-        up, down = _tables(to - at + 1)
-        prefix = np.zeros(to - at + 1, np.uint64)
-        np.cumsum((raw[at:to].astype(np.uint64) + np.uint64(1)) * down[: to - at], out=prefix[1:])
-        s, e = starts[first:last] - at, ends[first:last] - at
-        out[first:last] = (prefix[e] - prefix[s]) * up[e - 1] + (e - s).astype(np.uint64) * _WINDOW_BASE
-        first = last
-    return starts, ends, mix(out)
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hash of each word, a row of two lanes."""
+    found, at = [], 0
+    while at < len(data):
+        gap = _GAP.search(data, at + CHUNK)
+        past = gap.start() if gap else len(data)
+        found.append(b"".join(map(xxh3_128_digest, data[at:past].split())))
+        at = past
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window that starts at each word; empty if there are too few words."""
+    """The hash of the window that starts at each word, a row of two lanes; empty if there are too few words."""
     n = len(words) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty((0, 2), np.uint64)
     out = words[:n].copy()
     for j in range(1, size):
-        out *= _WINDOW_BASE
+        out *= _BASE
         out += words[j : j + n]
     return mix(out)

@@ -187,6 +187,14 @@ def test_substring_on_shared_passages(spark, docs, monkeypatch):
         assert _digest(docs(rows), size) == _brute_substring(rows, size)
 
 
+def test_words_of_like_polynomials_are_told_apart(docs):
+    """A Thue-Morse word and its complement collide in every polynomial hash modulo 2^64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, " ".join(["w"] * 12 + [word])), (2, " ".join(["w"] * 12 + [word.translate(str.maketrans("ab", "ba"))])), (3, " ".join(["w"] * 12 + [word]))]
+    assert _digest(docs(rows)) == _brute_substring(rows, 13)
+    assert [r[2] for r in _digest(docs(rows))] == [0, 0, 13]
+
+
 def test_remove_keeps_columns(spark, docs, odd, empty):
     shared = " ".join(f"w{i}" for i in range(15))
     rows = docs([(1, f"a\n{shared}\nb"), (2, f"c  d\n{shared}  e"), (3, shared), (4, None)])
