@@ -50,16 +50,25 @@ LEAST_SCORE = 0.5
 _MARK = "▁"
 
 
-def _classes(*kinds: str) -> str:
+def _classes(*kinds: str, last: int = sys.maxunicode) -> str:
     """The characters whose Unicode category starts with one of kinds, as the inside of a character class."""
-    own = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    own = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] in kinds]
     first = [c for c, before in zip(own, [-2, *own], strict=False) if c != before + 1]
-    last = [c for c, after in zip(own, [*own[1:], -2], strict=True) if after != c + 1]
-    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True))
+    ends = [c for c, after in zip(own, [*own[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, ends, strict=True))
 
 
 #: Runs of letters and the marks that belong to them, with at least one letter; numerals are none.
 _WORDS = re.compile(f"[{_classes('M')}]*[{_classes('L')}][{_classes('L', 'M')}]*")
+#: The same runs in a text without marks, numerals that are no digits, and characters beyond the first plane.
+_PLAIN_WORDS = re.compile(r"[^\W\d_]+")
+_ODD = re.compile(f"[{_classes('M', 'N', last=0xFFFF).replace('0-9', '')}\U00010000-\U0010FFFF]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased."""
+    text = text.lower()
+    return (_WORDS if not text.isascii() and _ODD.search(text) else _PLAIN_WORDS).findall(text)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 
@@ -230,7 +239,7 @@ class Model:
         flat: list[int] = []
         sizes = []
         for text in texts:
-            words = _WORDS.findall(text.lower()) if text else []
+            words = words_of(text) if text else []
             flat.extend([number[w] for w in words])
             sizes.append(len(words))
         # words of like length go together, a bounded number of them at a time
@@ -267,7 +276,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
         seen: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in _WORDS.findall(text.lower()))
+                seen.update((lang, w) for w in words_of(text))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())],

@@ -167,11 +167,17 @@ def test_expected_counts_of_words_of_any_length():
 
 @pytest.mark.parametrize("text", ["½ ²", "①② Ⅷ", "12 ٣٤", "́", "__ -- 3.5", "🙂"])
 def test_text_without_letters(text):
-    assert langid._WORDS.findall(text.lower()) == []
+    assert langid.words_of(text) == []
 
 
 def test_words_keep_their_marks():
-    assert langid._WORDS.findall("हिन्दी में, naïve naïve x²y 漢字_か") == ["हिन्दी", "में", "naïve", "naïve", "x", "y", "漢字", "か"]
+    assert langid.words_of("हिन्दी में, naïve naïve x²y 漢字_か") == ["हिन्दी", "में", "naïve", "naïve", "x", "y", "漢字", "か"]
+    assert langid.words_of("Über_alles 3mal, naïve漢字") == ["über", "alles", "mal", "naïve漢字"]
+
+
+def test_both_ways_to_find_words_agree():
+    text = " ".join(chr(c) + "a" for c in range(0x3000) if not langid._ODD.match(chr(c).lower()))
+    assert langid.words_of(text) == langid._WORDS.findall(text.lower())
 
 
 def test_language_id_held_out_accuracy(spark):
