@@ -83,12 +83,12 @@ def peak_concurrency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KINDS = """WITH r AS (
-    SELECT 'metadata' AS kind, 'dir' AS type, MAP {'path': '/ds/' || replace(o_orderpriority, ' ', '_') || '/' || o_orderkey, 'mode': '755'} AS fields FROM orders WHERE o_orderkey % 100 = 0
+    SELECT 'metadata' AS kind, 'dir' AS type, MAP {'path': '/ds/' || replace(o_orderpriority, ' ', '_') || '/' || o_orderkey, 'mode': '755'} AS fields FROM orders
     UNION ALL SELECT 'control', CASE WHEN doc_id % 2 = 0 THEN 'copy_file' ELSE 'delete_file' END, MAP {'path': doc_id || '.txt', 'diff': lang, 'source': source} FROM documents
     UNION ALL SELECT 'index', 'url', MAP {'url': url} FROM pages)"""
 
 
-def _records(spark: SparkSession, sf: str, only: str = "dir_id % 100 = 0") -> DataFrame:
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     def kind(rows: DataFrame, name: str, type_, **fields) -> DataFrame:
         pairs = [c for k, v in fields.items() for c in (F.lit(k), v)]
         return rows.select(F.lit(name).alias("kind"), type_.alias("type"), F.create_map(*pairs).alias("fields"))
@@ -96,7 +96,7 @@ def _records(spark: SparkSession, sf: str, only: str = "dir_id % 100 = 0") -> Da
     docs = catalog.table(spark, sf, "documents")
     even = F.when(F.col("doc_id") % 2 == 0, "copy_file").otherwise("delete_file")
     return report.inspect_union(
-        kind(catalog.dirs(spark, sf).filter(only), "metadata", F.lit("dir"), path=F.col("path"), mode=F.lit("755")),
+        kind(catalog.dirs(spark, sf), "metadata", F.lit("dir"), path=F.col("path"), mode=F.lit("755")),
         kind(docs, "control", even, path=F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), diff=F.col("lang"), source=F.col("source")),
         kind(catalog.table(spark, sf, "pages"), "index", F.lit("url"), url=F.col("url")),
     )
@@ -108,33 +108,10 @@ def inspect_union(spark: SparkSession, sf: str) -> DataFrame:
     return report.group_records(_records(spark, sf))
 
 
-@query("""
-    SELECT 'metadata' AS kind, o_orderkey AS id, o_orderstatus AS status, NULL::VARCHAR AS lang, NULL::VARCHAR AS url FROM orders WHERE o_orderkey % 50 = 0
-    UNION ALL SELECT 'control', doc_id, NULL, lang, NULL FROM documents UNION ALL SELECT 'index', page_id, NULL, NULL, url FROM pages""")
-def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    t = lambda name: catalog.table(spark, sf, name)
-    return report.inspect_union(
-        t("orders").filter("o_orderkey % 50 = 0").select(F.lit("metadata").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")),
-        t("documents").select(F.lit("control").alias("kind"), F.col("doc_id").alias("id"), "lang"),
-        t("pages").select(F.lit("index").alias("kind"), F.col("page_id").alias("id"), "url"),
-    )
-
-
-_ALL_KINDS = _KINDS.replace(" WHERE o_orderkey % 100 = 0", "")
-
-
-@query(_ALL_KINDS + """ SELECT kind, type, count(DISTINCT n)::BIGINT AS n, string_agg(DISTINCT k, ',' ORDER BY k) AS columns, max(length(v))::INTEGER AS width
-    FROM (SELECT kind, type, row_number() OVER () AS n, unnest(map_entries(fields)).key AS k, unnest(map_entries(fields)).value AS v FROM r) GROUP BY kind, type""")
-def inspect_union_all(spark: SparkSession, sf: str) -> DataFrame:
-    """inspect_union over every order."""
-    return report.group_records(_records(spark, sf, "true"))
-
-
 @query("""
     SELECT 'metadata' AS kind, o_orderkey AS id, o_orderstatus AS status, NULL::VARCHAR AS lang, NULL::VARCHAR AS url FROM orders
     UNION ALL SELECT 'control', doc_id, NULL, lang, NULL FROM documents UNION ALL SELECT 'index', page_id, NULL, NULL, url FROM pages""")
-def union_by_name_all(spark: SparkSession, sf: str) -> DataFrame:
-    """union_by_name over every order."""
+def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name: catalog.table(spark, sf, name)
     return report.inspect_union(
         t("orders").select(F.lit("metadata").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")),
@@ -216,17 +193,17 @@ def filetime_convert(spark: SparkSession, sf: str) -> DataFrame:
 
 _TASKS = """WITH e AS (SELECT user_id AS task, event_id AS seq, CASE user_id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'backup' ELSE 'restore' END AS kind,
     CASE WHEN event_type = 'view' THEN 'created' WHEN event_type = 'signup' THEN 'starting' WHEN event_type = 'click' THEN 'running' WHEN event_type = 'purchase' THEN 'stopping'
-        WHEN event_id % 50 = 0 THEN 'failed' ELSE 'running' END AS state FROM events WHERE event_id % 20 = user_id % 20),
+        WHEN event_id % 50 = 0 THEN 'failed' ELSE 'running' END AS state FROM events),
     s AS (SELECT task, kind, coalesce(arg_min(state, seq) FILTER (state IN ('completed', 'failed', 'killed', 'stopped')), arg_max(state, seq)) AS state, count(*)::BIGINT AS events FROM e GROUP BY task, kind)"""
 
 
-def _tasks(spark: SparkSession, sf: str, only: str = "event_id % 20 = user_id % 20") -> DataFrame:
+def _tasks(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, ("scan", "backup", "restore"))), (F.col("user_id") % 3).cast("int"))
     kinds = {"view": "create", "signup": "start", "click": "run", "purchase": "stop"}
     event = F.when((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0), "exit_error")
     for name, what in kinds.items():
         event = event.when(F.col("event_type") == name, what)
-    rows = catalog.table(spark, sf, "events").filter(only)
+    rows = catalog.table(spark, sf, "events")
     return tasks.states(rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), kind.alias("kind"), event.otherwise("run").alias("event")), "task", "seq")
 
 
@@ -241,22 +218,6 @@ def task_limits(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.active_by_kind(_tasks(spark, sf), {"scan": 4, "subtask": 4})
 
 
-_ALL_TASKS = _TASKS.replace(" WHERE event_id % 20 = user_id % 20", "")
-
-
-@query(_ALL_TASKS + " SELECT task, kind, state, events FROM s")
-def task_state_machine_all(spark: SparkSession, sf: str) -> DataFrame:
-    """task_state_machine over every event."""
-    return _tasks(spark, sf, "true")
-
-
-@query(_ALL_TASKS + """ SELECT CASE WHEN kind = 'scan' THEN 'scan' ELSE 'subtask' END AS pool, count(*) FILTER (state IN ('created', 'starting', 'running', 'stopping'))::BIGINT AS active,
-    count(*)::BIGINT AS tasks, count(*) FILTER (state IN ('created', 'starting', 'running', 'stopping')) >= 4 AS refused FROM s GROUP BY 1""")
-def task_limits_all(spark: SparkSession, sf: str) -> DataFrame:
-    """task_limits over every event."""
-    return tasks.active_by_kind(_tasks(spark, sf, "true"), {"scan": 4, "subtask": 4})
-
-
 @query("""
     SELECT s.conv_id, '1.0' AS version, 'common' AS format, 64::BIGINT AS blob_mib, count(*)::BIGINT AS subtasks, count(*) FILTER (role = 'user')::BIGINT AS succeeded
     FROM conversations s GROUP BY s.conv_id""")

@@ -1,4 +1,4 @@
-"""The _all queries take every row of their tables."""
+"""Queries take every row of their tables."""
 
 from lithos import catalog, queries
 
@@ -7,7 +7,7 @@ queries.load()
 
 def test_segment_rollover_of_every_file(spark, sf):
     """Every file, against a plain fold."""
-    got = {r.id: (r.shard, r.segment, r.offset) for r in queries.QUERIES["segment_rollover_all"](spark, sf).collect()}
+    got = {r.id: (r.shard, r.segment, r.offset) for r in queries.QUERIES["segment_rollover"](spark, sf).collect()}
     at, want = {}, {}
     for r in catalog.files(spark, sf).orderBy("id").collect():
         shard, size = r.line % 4, r.size + 60
@@ -21,20 +21,20 @@ def test_segment_rollover_of_every_file(spark, sf):
 
 def test_tasks_of_every_event(spark, sf):
     events = catalog.table(spark, sf, "events")
-    rows = queries.QUERIES["task_state_machine_all"](spark, sf).collect()
+    rows = queries.QUERIES["task_state_machine"](spark, sf).collect()
     assert sum(r.events for r in rows) == events.count()
     assert {r.task for r in rows} == {r.user_id for r in events.select("user_id").distinct().collect()}
-    assert sum(r.tasks for r in queries.QUERIES["task_limits_all"](spark, sf).collect()) == len(rows)
+    assert sum(r.tasks for r in queries.QUERIES["task_limits"](spark, sf).collect()) == len(rows)
 
 
 def test_reports_of_every_order(spark, sf):
     orders = catalog.table(spark, sf, "orders").count()
-    found = {(r.kind, r.type): r.n for r in queries.QUERIES["inspect_union_all"](spark, sf).collect()}
+    found = {(r.kind, r.type): r.n for r in queries.QUERIES["inspect_union"](spark, sf).collect()}
     assert found["metadata", "dir"] == orders
-    assert queries.QUERIES["union_by_name_all"](spark, sf).filter("kind = 'metadata'").count() == orders
+    assert queries.QUERIES["union_by_name"](spark, sf).filter("kind = 'metadata'").count() == orders
 
 
 def test_depth_limit_of_every_page(spark, sf):
     want = {r.id for r in catalog.urls(spark, sf).collect() if len([x for x in r.path.split("/") if x]) <= 3}
-    assert {r.id for r in queries.QUERIES["depth_limit_all"](spark, sf).collect()} == want
+    assert {r.id for r in queries.QUERIES["depth_limit"](spark, sf).collect()} == want
     assert any(i % 2 for i in want)
