@@ -297,6 +297,8 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
     counts = np.zeros((len(words), len(langs)))
     for lang, word, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts[place[word], column[lang]] = n
+    del counted
+    pa.default_memory_pool().release_unused()
     return Model(langs, pieces, fit(Pieces(pieces), words, counts))
 
 

@@ -44,8 +44,8 @@ THRESHOLD = 0.5
 #: Characters of text around a candidate that count as its neighbours.
 LEFT, RIGHT = 60, 40
 MASK = "[SECRET]"
-#: Fewest letters of a dictionary word.
-LEAST_WORD = 4
+#: Fewest letters of a dictionary word, and how many words (of lowest rank, so the most frequent ones) the dictionary has.
+LEAST_WORD, WORDS = 4, 4096
 #: Matches whose lengths are added up together.
 GROUP = 256
 
@@ -86,8 +86,9 @@ class Dictionary(NamedTuple):
 
     @staticmethod
     def read(rank_file: str) -> Dictionary:
-        """Every token of a rank file that is a space and LEAST_WORD or more of a-z."""
-        words = sorted(t[1:].decode() for t in read_ranks(rank_file) if _WORD.fullmatch(t))
+        """The WORDS first tokens of a rank file that are a space and LEAST_WORD or more of a-z."""
+        ranks = read_ranks(rank_file)
+        words = sorted(t[1:].decode() for t in sorted(filter(_WORD.fullmatch, ranks), key=ranks.__getitem__)[:WORDS])
         by_start: dict[str, list[str]] = {}
         for w in words:
             by_start.setdefault(w[:2], []).append(w)
