@@ -17,7 +17,7 @@ possessive, so time grows with the text.
 Defined results: null or empty text has no findings; positions count code points
 from 0; a null path counts as no path; repeated rows each give their findings;
 a key block without its end mark is taken up to its last line of 16 characters or
-more; of candidates that overlap, the one that starts first counts; other columns
+more and the start of the line after that; of candidates that overlap, the one that starts first counts; other columns
 are ignored or, in `redact`, carried; an empty table gives an empty result.
 """
 
@@ -58,9 +58,9 @@ _BREAK = r"(?:\s|\\[nr])*+"  # between the lines of a key block; in strings of p
 _ENDS = r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
 #: Every repetition is unbounded and possessive, so a value of any length is one match and no start is scanned twice.
 PATTERN = "|".join((
-    # a key block with its header lines, up to its end mark; without one, its lines of 16 characters or more
+    # a key block with its header lines, up to its end mark; without one, its lines of 16 characters or more and the one after
     rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_BREAK}[A-Za-z][A-Za-z\-]*+: [^\r\n\\]*+)*+"
-    rf"(?:(?:[A-Za-z0-9+/=]|\s|\\[nr]){{16,}}+{_ENDS}|(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+)++={{0,2}}+)",
+    rf"(?:(?:[A-Za-z0-9+/=]|\s|\\[nr]){{16,}}+{_ENDS}|(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+)++(?:[ \t]*+(?:\r?\n|\\[nr])++[ \t]*+[A-Za-z0-9+/]{{1,15}}+)?+={{0,2}}+)",
     rf"{_KEY}[^\s\"'<>,;]{{6,}}+",
     r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+",
     rf"(?<!{_TOKEN_CHAR})(?=[A-Za-z+/_\-]*+[0-9]){_TOKEN_CHAR}{{20,}}+={{0,2}}+",
