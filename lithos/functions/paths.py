@@ -209,3 +209,20 @@ def display_location(spec: Column) -> Column:
         F.concat(F.lit("smb://"), smb["host"], F.lit("/"), smb["share"], below(smb["sub_path"])),
         spec,
     )
+
+
+def last_components(p: Column, n: int) -> Column:
+    """The last n segments of a path, fewer if it has fewer."""
+    parts = F.filter(F.split(p, "/"), lambda s: s != "")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n, F.lit(0)) + 1, n), "/")
+
+
+def source_layout(spec: Column) -> Column:
+    """struct<base, root> of a source: a local path is its own base below the root /; of a remote one the last segment is the root, what is above it the base."""
+    parts = F.when(location_kind(spec) == "Local", F.array().cast("array<string>")).otherwise(
+        F.filter(F.split(F.regexp_replace(F.regexp_replace(spec, "^[a-z]+://[^/?]+", ""), "[?].*$", ""), "/"), lambda s: s != "")
+    )
+    above = F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
+    local = F.struct(spec.alias("base"), F.lit("/").alias("root"))
+    remote = F.struct(above.alias("base"), F.concat(F.lit("/"), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))).alias("root"))
+    return F.when(location_kind(spec) == "Local", local).otherwise(remote)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The components a backup copy must have.
@@ -59,3 +59,37 @@ def missing_components(copies: DataFrame, present: DataFrame) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in REQUIRED_COMPONENTS])
     wanted = copies.withColumn("c", F.explode(parts)).select("copy_id", F.col("c.n").alias("component"), F.col("c.k").alias("component_kind"))
     return wanted.join(present.select("copy_id", "component", "component_kind"), ["copy_id", "component", "component_kind"], "left_anti")
+
+
+def column_widths(records: DataFrame) -> DataFrame:
+    """Records (kind, type, fields map) by kind, type and column: how many have it, and how wide it is, its name included."""
+    each = records.select("kind", "type", F.explode("fields").alias("column", "value"))
+    rows = each.groupBy("kind", "type", "column").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("w"))
+    return rows.select("kind", "type", "column", "n", F.greatest(F.length("column"), F.coalesce("w", F.lit(0))).alias("width"))
+
+
+def clean(value: Column) -> Column:
+    """A value for tab-separated output: tabs and line ends become spaces, null nothing."""
+    return F.coalesce(F.regexp_replace(value, "[\\t\\r\\n]", " "), F.lit(""))
+
+
+def as_lines(records: DataFrame, columns: list[str], fmt: str) -> DataFrame:
+    """Records (kind, type, fields map) as lines of text: json (one object a record), csv or tab (the given columns)."""
+    if fmt == "json":
+        line = F.to_json(F.struct("kind", "type", "fields"))
+    else:
+        cells = [F.coalesce(F.try_element_at(F.col("fields"), F.lit(c)), F.lit("")) for c in columns]
+        if fmt == "csv":
+            line = F.to_csv(F.struct("kind", "type", *[c.alias(f"c{k}") for k, c in enumerate(cells)]))
+        elif fmt == "tab":
+            line = F.concat_ws("\t", clean(F.col("kind")), clean(F.col("type")), *map(clean, cells))
+        else:
+            raise ValueError(fmt)
+    return records.select(line.alias("line"))
+
+
+def as_table(records: DataFrame, widths: DataFrame, columns: list[str]) -> DataFrame:
+    """Records as lines of padded cells; widths: rows (column, width), one for each of columns."""
+    wide = widths.filter(F.col("column").isin(*columns)).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column", "width"))).alias("w"))
+    cell = lambda c: F.expr(f"rpad(coalesce(try_element_at(fields, '{c}'), ''), coalesce(try_element_at(w, '{c}'), 0), ' ')")
+    return records.join(wide).select(F.rtrim(F.concat_ws("  ", *map(cell, columns))).alias("line"))

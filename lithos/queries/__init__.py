@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from lithos.queries import diffing, packing, paths, reports, restoring, streams  # noqa: F401
+    from lithos.queries import binary, counting, diffing, packing, paths, reports, restoring, streams  # noqa: F401

@@ -40,8 +40,7 @@ def filter_exclude_dir(spark: SparkSession, sf: str) -> DataFrame:
     SELECT id, path,
         (len(g) = 3 AND g[1] LIKE 'blog.%' AND g[3] LIKE '%1%' OR len(g) >= 2 AND starts_with(g[2], 'fr') AND ends_with(g[2], 'fr'))
             AND NOT (len(g) = 3 AND g[3] LIKE '%.html') AS emit_file,
-        coalesce(g[1] LIKE 'blog.%', true) AND coalesce(g[2] IS NOT NULL OR true, true) AND len(g) < 3
-            AND true OR (coalesce(starts_with(g[2], 'fr') AND ends_with(g[2], 'fr'), true)) AS emit_dir
+        len(g) < 3 AND coalesce(g[1] LIKE 'blog.%', true) OR coalesce(starts_with(g[2], 'fr') AND ends_with(g[2], 'fr'), true) AS emit_dir
     FROM s""", "vurls"))
 def filter_include_file(spark: SparkSession, sf: str) -> DataFrame:
     chosen = PathFilter(include_dirs=["/*/fr"], include_files=["/blog.*/*/*1*"], exclude_files=["/*/*/*.html"])
@@ -51,7 +50,7 @@ def filter_include_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     SELECT p_partkey AS id, w AS word, starts_with(w, 'r') AND ends_with(w, 'r') AS literal, w LIKE 's%l%' AS starred, w LIKE '%e%t' AS inner_star,
-        true AS any_word
+        w LIKE '%' AS any_word
     FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)""")
 def filter_segment_literal(spark: SparkSession, sf: str) -> DataFrame:
     words = catalog.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(F.split("p_name", " ")).alias("word"))
@@ -178,19 +177,21 @@ def locator_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     SELECT page_id AS id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-        regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS export, 'Local' AS kind,
+        regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS export,
+        CASE page_id % 5 WHEN 0 THEN 'NFS' WHEN 1 THEN 'SMB' WHEN 2 THEN 'SMB' ELSE 'Local' END AS kind,
         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS nfs_host,
         nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), '/') AS nfs_export, (page_id % 7)::BIGINT AS nfs_uid,
-        string_split(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/')[1] AS smb_share, true AS smb_password
+        string_split(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/')[1] AS smb_share, page_id % 3 = 0 AS smb_password
     FROM pages""")
 def url_parse(spark: SparkSession, sf: str) -> DataFrame:
     pages = catalog.table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url")
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     rows = pages.withColumn("nfs", paths.nfs_location(F.concat(F.lit("nfs://"), bare, F.lit("?sub=a/b&uid="), (F.col("id") % 7).cast("string"))))
-    rows = rows.withColumn("smb", paths.smb_location(F.concat(F.lit("smb://"), bare, F.lit("?username=u&password=p"))))
+    rows = rows.withColumn("smb", paths.smb_location(F.concat(F.lit("smb://"), bare, F.lit("?username=u"), F.when(F.col("id") % 3 == 0, "&password=p").otherwise("&password="))))
+    scheme = F.get(F.array(*map(F.lit, ("nfs://", "smb://", "smb:\\\\", "file://", "/"))), (F.col("id") % 5).cast("int"))
     return rows.select(
         "id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"),
-        F.regexp_extract("url", "^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("export"), paths.location_kind(F.col("url")).alias("kind"),
+        F.regexp_extract("url", "^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("export"), paths.location_kind(F.concat(scheme, bare)).alias("kind"),
         F.col("nfs.host").alias("nfs_host"), F.col("nfs.export").alias("nfs_export"), F.col("nfs.uid").alias("nfs_uid"),
         F.col("smb.share").alias("smb_share"), F.col("smb.has_password").alias("smb_password"),
     )

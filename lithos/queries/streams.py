@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos import catalog
 from lithos.queries import query
+from lithos.session import scratch
 from lithos.streaming import ingest
 
 _CENTS = "round(value * 100)::BIGINT"
@@ -50,8 +47,7 @@ def events_session(spark: SparkSession, sf: str) -> DataFrame:
     SELECT conv_id, arg_max(turn, turn)::BIGINT AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id""")
 def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The state that a stream over conversations leaves: the last turn of each."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lithos-")
-    work = os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    work = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf}/conversations.parquet").schema
     # a path that is one file is read through a pattern
     stream = ingest.read_files(spark, f"{sf}/conversations.parque[t]", schema).select("conv_id", "turn", "role")

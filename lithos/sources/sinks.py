@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.hashing import plan_shard
@@ -38,20 +38,35 @@ def rewrite_plan(spark: SparkSession, source: str, target: str, column: str, map
     spark.read.parquet(source).withColumn(column, mapping(F.col(column))).write.mode("overwrite").parquet(target)
 
 
-def write_dir_index(index: DataFrame, path: str) -> None:
-    """Blob index rows (dir, name, seq, ...) by directory; of rows of one name the last (by seq) stays."""
-    last_wins(index, ["dir", "name"], "seq").write.mode("overwrite").partitionBy("dir").parquet(path)
+def write_dir_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Blob index rows (dir, name, seq, ...) by a hash of their directory; of rows of one name the last (by seq) stays.
 
+    Rows of a bucket are sorted, so the scan skips row groups of other directories; files grow with buckets, not with directories.
+    """
+    rows = last_wins(index, ["dir", "name"], "seq").withColumn("bucket", _bucket(F.col("dir"), buckets))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "dir", "name").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-def lookup_dir_index(spark: SparkSession, path: str, directory: str, name: str) -> DataFrame:
-    """One file's row: the directory prunes partitions, the name is pushed to the scan."""
-    return spark.read.parquet(path).filter((F.col("dir") == directory) & (F.col("name") == name))
+
+def _bucket(directory: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(directory), F.lit(buckets))
+
+
+def read_dir_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def lookup_dir_index(spark: SparkSession, path: str, directory: str, name: str, buckets: int = 64) -> DataFrame:
+    """One file's row: the directory's bucket prunes partitions, both names are pushed to the scan."""
+    own = _bucket(F.lit(directory), buckets)
+    return spark.read.parquet(path).filter((F.col("bucket") == own) & (F.col("dir") == directory) & (F.col("name") == name)).drop("bucket")
 
 
 def blob_contents(rows: DataFrame) -> DataFrame:
     """Blobs from rows (bucket, blob, offset, content): the contents in the order of their offsets, and the size."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "content")))
-    content = F.aggregate(parts, F.lit(b""), lambda done, x: F.concat(done, x["content"]))
+    # joined as characters of one byte each: one pass, where adding binaries up copies what is there for every part
+    letters = F.transform(parts, lambda x: F.decode(x["content"], "ISO-8859-1"))
+    content = F.encode(F.array_join(letters, ""), "ISO-8859-1")
     return rows.groupBy("bucket", "blob").agg(content.alias("content")).withColumn("size", F.octet_length("content"))
 
 

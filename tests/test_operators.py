@@ -1,5 +1,7 @@
 """Filters, diffs, packing, links, restore rules, plans."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,57 @@ def test_failure_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().path == "/a&b"
     assert spark.read.format("xml").option("rowTag", "failure").load(str(tmp_path / "xml")).first().detail == "<x>"
     assert spark.read.json(str(tmp_path / "json")).first().attempts == 2
+
+
+def _by_rows(sizes, step):
+    state, out = [0, 0, 0], []
+    for n in sizes:
+        out.append(step(state, n or 0))
+    return out
+
+
+def _packed(state, n, most=10):
+    out = state[0], state[1]
+    state[1] += n
+    if state[1] >= most:
+        state[:2] = state[0] + 1, 0
+    return out
+
+
+def _rolled(state, n, most=10, entries=4):
+    if state[1] >= most or state[2] >= entries:
+        state[:] = state[0] + 1, 0, 0
+    out = state[0], state[2]
+    state[1:] = state[1] + n, state[2] + 1
+    return out
+
+
+def _segmented(state, n, most=10):
+    if state[1] + n > most:
+        state[:2] = state[0] + 1, 0
+    out = state[0], state[1]
+    state[1] += n
+    return out
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_bins_equal_a_fold_by_rows(spark, batch):
+    """Null sizes count as 0; bins go on over batches and end with their bucket."""
+    rng = random.Random(5)
+    rows = [(b, i, rng.choice([None, 0, 1, 3, 9, 10, 25])) for b in ("x", "y", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "b string, i long, n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for out, step, names in (
+            (packing.pack_greedy(df, "b", ["i"], "n", 10), _packed, ("blob", "offset")),
+            (packing.roll_over(df, "b", ["i"], "n", 10, 4), _rolled, ("file_index", "entry")),
+            (packing.segment_rollover(df, "b", ["i"], "n", 10), _segmented, ("segment", "offset")),
+        ):
+            found = {(r.b, r.i): (r[names[0]], r[names[1]]) for r in out.collect()}
+            for b in ("x", "y", None):
+                want = _by_rows([n for k, _, n in rows if k == b], step)
+                assert [found[b, i] for i in range(60)] == want
+            assert out.filter("false").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

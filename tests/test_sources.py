@@ -75,6 +75,63 @@ def test_control_files(spark, tmp_path):
     assert list(codec.frames(head("DELETE"))) == []
 
 
+_META = {
+    "kind": "File", "id": -2, "mode": 0o100644, "attr": 0, "atime": 1, "ctime": 2, "mtime": 3, "devno": 7, "name": "ü.txt", "security_descriptor": None,
+    "posix_access_acl": "user::rw-", "posix_default_acl": None, "symlink_target_path": None, "xattributes": '{"a":"b"}', "size": 5, "links": 1,
+    "sparse": [{"off": 0, "len": 4}], "path": None,
+}
+
+
+def test_metadata_layout():
+    """The fixed layout byte by byte, and there and back."""
+    raw = codec.encode_meta(_META)
+    name = "ü.txt".encode()
+    want = struct.pack("<QIIIIIQ", (1 << 64) - 2, 0o100644, 0, 1, 2, 3, 7) + struct.pack("<Q", len(name)) + name + b"\0"
+    want += b"\1" + struct.pack("<Q", 9) + b"user::rw-" + b"\0\0" + b"\1" + struct.pack("<Q", 9) + b'{"a":"b"}'
+    want += struct.pack("<QQBQQQ", 5, 1, 1, 1, 0, 4)
+    assert raw == struct.pack("<BI", 2, len(want)) + want
+    folder = _META | {"kind": "Dir", "path": "/x", "size": None, "links": None, "sparse": None}
+    rows = list(codec.decode("meta", raw + codec.encode_meta(folder), "meta_3_2.dat"))
+    assert [r[:4] for r in rows] == [(0, 3 << 16 | 2, 0, "File"), (1, 3 << 16 | 2, len(raw), "Dir")]
+    assert list(rows[0][4:-1]) == list(_META.values())[1:] and list(rows[1][4:-1]) == list(folder.values())[1:]
+    with pytest.raises(ValueError):
+        list(codec.decode("meta", raw[:-1], "meta_0_0.dat"))
+
+
+def test_metadata_sizes(spark):
+    schema = codec.SCHEMAS["meta"]
+    rows = [_META, _META | {"sparse": None, "xattributes": None}, _META | {"kind": "Dir", "path": "/é", "sparse": None, "size": None, "links": None}]
+    made = spark.createDataFrame([(i, 0, 0, *r.values(), "meta_0_0.dat") for i, r in enumerate(rows)], schema)
+    optional = [F.col(c) for c in codec._OPTIONAL]
+    size = codec.meta_size(F.col("name"), F.col("path"), F.col("kind") == "Dir", *optional, ranges=F.size("sparse").cast("long"))
+    size = F.when(F.col("sparse").isNull(), codec.meta_size(F.col("name"), F.col("path"), F.col("kind") == "Dir", *optional)).otherwise(size)
+    assert [r[0] for r in made.orderBy("seq").select(size).collect()] == [len(codec.encode_meta(r)) for r in rows]
+
+
+@pytest.mark.parametrize("kind", list(codec.SCHEMAS))
+def test_written_files_read_back(spark, tmp_path, kind):
+    text = "weird\npath ü"
+    rows = {
+        "copy": [(0, "DIR", "New", text, 1, 2, 1, 2, 0, 1), (1, "FILE", "DataModified", "f", 3, 4, None, 0, None, None)],
+        "delete": [(0, "File", text), (1, "Dir", "/a")],
+        "mtime": [(0, text, 0o755, 1, 2, 7, 8)],
+        "hardlink": [(0, "INODE", -1, 5, 2, None, None, None), (1, "FILE", None, None, None, 1, 2, text)],
+        "dcache": [(0, -1, 1, 2, 3, 4, 5, 6), (1, 2, 1, 2, 3, 4, 5, 6)],
+        "fcache": [(0, -1, 1, 2, 3)],
+        "meta": [(0, 1 << 16, 0, *_META.values())],
+        "blobindex": [(0, text, "/blob_1", 1, 2, 3, 4, None, "acl"), (1, "b", "/blob_2", 5, 6, 7, 8, "x", None)],
+    }[kind]
+    files = [{"meta": "meta_1_0.dat", "blobindex": "b1/I.bidx"}.get(kind, f"{kind}_{k}.control.bin") for k in (0, 1)]
+    made = spark.createDataFrame([(*r, f) for f in dict.fromkeys(files) for r in rows], codec.SCHEMAS[kind])
+    for _ in range(2):  # a second write takes the first one's place
+        codec.write(made, kind, str(tmp_path / "out"), source_root='"/"', time=0)
+    assert sorted(codec.read(spark, kind, str(tmp_path / "out")).collect(), key=repr) == sorted(made.collect(), key=repr)
+    assert not [n for n in os.listdir(tmp_path / "out") if n.endswith(".part")]
+    if kind == "copy":
+        _, settings = codec.read_header((tmp_path / "out" / files[0]).read_bytes())
+        assert (settings["FILE_COUNT"], settings["DIR_COUNT"], settings["RECORD_COUNT"], settings["SOURCE_ROOT"]) == ("1", "1", "2", '"/"')
+
+
 def test_manifest_defaults(spark):
     rows = spark.createDataFrame([(1, '{"version":"1.0"}'), (2, '{"aggregation":{"layout":"dir","shard_count":3}}')], "id int, json string")
     got = {r.id: r.m for r in manifest.read_manifest(rows, "json").collect()}
