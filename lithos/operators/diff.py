@@ -106,10 +106,11 @@ def copy_plan(prev_dirs: DataFrame, curr_dirs: DataFrame, prev_files: DataFrame,
 def delete_plan(prev_dirs: DataFrame, curr_dirs: DataFrame, prev_files: DataFrame, curr_files: DataFrame) -> DataFrame:
     """What an incremental run deletes: entry_type and path. Files of deleted directories are not listed."""
     merged = merge_snapshots(prev_dirs, curr_dirs, prev_files, curr_files)
-    gone = merged.filter("name IS NULL AND diff = 'Deleted'").select(F.lit("Dir").alias("entry_type"), F.col("prev_path").alias("path"))
-    matched = _directories(merged).filter("dir_prev AND dir_curr").select("dir_id", "dir_curr_path")
-    files = merged.filter("name IS NOT NULL AND diff = 'Deleted'").join(matched, "dir_id")
-    return gone.unionByName(files.select(F.lit("File").alias("entry_type"), F.concat("dir_curr_path", F.lit("/"), "name").alias("path")))
+    dirs = _directories(merged).select("dir_id", (F.col("dir_prev") & F.col("dir_curr")).alias("matched"), "dir_curr_path")
+    rows = merged.filter("diff = 'Deleted'").join(dirs, "dir_id")
+    is_dir = F.col("name").isNull()
+    path = F.when(is_dir, F.col("prev_path")).otherwise(F.concat("dir_curr_path", F.lit("/"), "name"))
+    return rows.filter(is_dir | F.col("matched")).select(F.when(is_dir, "Dir").otherwise("File").alias("entry_type"), path.alias("path"))
 
 
 def diff_stats(prev_dirs: DataFrame, curr_dirs: DataFrame, prev_files: DataFrame, curr_files: DataFrame) -> DataFrame:

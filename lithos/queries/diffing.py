@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos import catalog
 from lithos.catalog import with_views
-from lithos.operators import diff
+from lithos.operators import diff, ranking
 from lithos.queries import query
 
 _VIEWS = ("prev_dirs", "curr_dirs", "prev_files", "curr_files")
@@ -74,9 +74,9 @@ def copy_plan_incremental(spark: SparkSession, sf: str) -> DataFrame:
         row_number() OVER (PARTITION BY split_part(path, '/', 3), entry_type ORDER BY path DESC)::BIGINT AS rank FROM del""", *_VIEWS))
 def delete_plan_ordered(spark: SparkSession, sf: str) -> DataFrame:
     """Deletions with their order: files before directories, children before parents, by root."""
-    order = Window.partitionBy(F.element_at(F.split("path", "/"), 3), "entry_type").orderBy(F.col("path").desc())
-    rows = diff.delete_plan(*_four(spark, sf))
-    return rows.select("entry_type", "path", F.when(F.col("entry_type") == "File", 1).otherwise(2).alias("phase"), F.row_number().over(order).cast("long").alias("rank"))
+    rows = diff.delete_plan(*_four(spark, sf)).withColumn("root", F.element_at(F.split("path", "/"), 3))
+    ranked = ranking.ranks(rows, ["root", "entry_type"], F.col("path").desc(), "rank")
+    return ranked.select("entry_type", "path", F.when(F.col("entry_type") == "File", 1).otherwise(2).alias("phase"), "rank")
 
 
 @query(with_views(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lithos import catalog
 from lithos.catalog import with_views
 from lithos.functions import hashing
-from lithos.operators import links, packing, restore
+from lithos.operators import links, packing, ranking, restore
 from lithos.operators.filters import should_aggregate
 from lithos.plans import control
 from lithos.queries import query
@@ -142,7 +142,7 @@ def forward_fill_parent(spark: SparkSession, sf: str) -> DataFrame:
     own = dirs.select((F.col("dir_id") % 64).alias("part"), (F.col("dir_id") * 16).alias("seq"), F.lit("DIR").alias("kind"), "path")
     files = catalog.files(spark, sf).join(dirs.select("dir_id"), "dir_id", "left_semi")
     rows = own.unionByName(files.select((F.col("dir_id") % 64).alias("part"), (F.col("dir_id") * 16 + F.col("line")).alias("seq"), F.lit("FILE").alias("kind"), F.col("name").alias("path")))
-    return rows.withColumn("dir_path", control.fill_directory(rows, "part", "seq"))
+    return ranking.fill_forward(rows, "part", "seq", F.when(F.col("kind") == "DIR", F.col("path")), "dir_path")
 
 
 @query(with_views(
@@ -151,7 +151,7 @@ def forward_fill_parent(spark: SparkSession, sf: str) -> DataFrame:
     SELECT d.dir_id, f.id, f.fid, f.idx::BIGINT AS idx FROM d JOIN f ON f.fid = d.fid AND f.idx >= d.first AND f.idx < d.first + d.n""", "vfiles"))
 def range_join_dir_files(spark: SparkSession, sf: str) -> DataFrame:
     files = catalog.files(spark, sf).select((F.col("dir_id") % 4).alias("fid"), "id", "dir_id")
-    files = files.withColumn("idx", (F.row_number().over(Window.partitionBy("fid").orderBy("id")) - 1).cast("long"))
+    files = ranking.row_numbers(files, "fid", "id", "idx")
     dirs = files.groupBy("fid", "dir_id").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("files_count"))
     return control.dir_file_range(dirs, files.select("fid", "id", "idx")).select("dir_id", "id", "fid", "idx")
 

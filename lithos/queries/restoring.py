@@ -9,7 +9,7 @@ from lithos import catalog
 from lithos.catalog import with_views
 from lithos.functions import hashing
 from lithos.functions.paths import location_kind, normalize
-from lithos.operators import report, restore
+from lithos.operators import ranking, report, restore
 from lithos.plans import control
 from lithos.queries import query
 
@@ -23,13 +23,12 @@ _REQUESTS = """, req AS (SELECT DISTINCT raw, '/' || array_to_string(list_filter
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    docs = catalog.docs(spark, sf)
-    raw = (
-        docs.filter("id % 97 = 0").select(F.concat("dir", F.lit("/")).alias("raw"))
-        .unionByName(docs.filter("id % 31 = 0").select(F.concat(F.lit("/."), "path").alias("raw")))
-        .unionByName(docs.filter("id % 89 = 0").select(F.concat("path", F.lit("x")).alias("raw")))
-    )
-    return raw.distinct().select("raw", normalize(F.col("raw")).alias("path"))
+    n = F.col("id")
+    raw = F.array(
+        F.when(n % 97 == 0, F.concat("dir", F.lit("/"))), F.when(n % 31 == 0, F.concat(F.lit("/."), "path")), F.when(n % 89 == 0, F.concat("path", F.lit("x")))
+    )
+    each = catalog.docs(spark, sf).select(F.explode(F.array_compact(raw)).alias("raw"))
+    return each.distinct().select("raw", normalize(F.col("raw")).alias("path"))
 
 
 def _dirs(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,9 +54,7 @@ def fine_grain_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Files and directories that a list of requests selects."""
     docs, dirs = catalog.docs(spark, sf).select("path", "dir"), _dirs(spark, sf)
     named = control.resolve(_requests(spark, sf), dirs, docs)
-    d, f = named.filter("kind = 'dir'").select("path"), named.filter("kind = 'file'").select("path")
-    files = control.select_files(docs, d, f).select(F.lit("FILE").alias("kind"), "path")
-    return files.unionByName(control.select_dirs(dirs, d, f, docs).select(F.lit("DIR").alias("kind"), "path"))
+    return control.fine_grain(named, dirs, docs)
 
 
 @query(with_views(
@@ -102,15 +99,12 @@ def restore_policy(spark: SparkSession, sf: str) -> DataFrame:
         row_number() OVER (PARTITION BY kind ORDER BY name)::BIGINT AS rank
     FROM (SELECT id, name, CASE WHEN name LIKE '%.control.bin' AND split_part(name, '_', 1) <> 'other' THEN split_part(name, '_', 1) END AS kind FROM c) WHERE kind IS NOT NULL""", "vurls"))
 def phase_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     phrases = F.array(*map(F.lit, ("copy", "hardlink", "delete", "mtime", "other")))
     phrase = F.get(phrases, (F.col("id") % 5).cast("int"))
     whole = hashing.control_name(phrase, F.col("id").cast("string"))
     name = F.when(F.col("id") % 7 == 0, F.replace(whole, F.lit(".control.bin"), F.lit(".bin"))).otherwise(whole)
     rows = catalog.urls(spark, sf).select("id", name.alias("name")).withColumn("kind", hashing.control_kind(F.col("name"))).filter("kind IS NOT NULL")
-    order = Window.partitionBy("kind").orderBy("name")
-    return rows.withColumn("phase", restore.phase_rank(F.col("kind"))).withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranking.ranks(rows.withColumn("phase", restore.phase_rank(F.col("kind"))), ["kind"], F.col("name"), "rank")
 
 
 @query("""

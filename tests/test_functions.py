@@ -21,8 +21,8 @@ def each(spark, values, make):
 
 
 def test_normalize(spark):
-    raw = ["/d1//d2/", "d1/d2", "/d1/./d2/../f1", "C:\\foo\\bar", "/", "", "..", "a/../../b"]
-    assert each(spark, raw, paths.normalize) == ["/d1/d2", "/d1/d2", "/d1/f1", "/C:/foo/bar", "/", "/", "/", "/b"]
+    raw = ["//srv///www/", "srv/www", "/srv/x/.././log.1", "Q:\\run\\me", "./", "", "../..", "k/../../m"]
+    assert each(spark, raw, paths.normalize) == ["/srv/www", "/srv/www", "/srv/log.1", "/Q:/run/me", "/", "/", "/", "/m"]
 
 
 def _model(raw):
@@ -42,10 +42,9 @@ def test_normalize_equals_model(spark, raw):
 
 
 def test_join_and_pieces(spark):
-    assert one(spark, paths.join(F.lit("/dir"), F.lit("file.txt"))) == "/dir/file.txt"
-    assert one(spark, paths.join(F.lit("/"), F.lit("file.txt"))) == "/file.txt"
-    assert one(spark, paths.join(F.lit("/dir/"), F.lit("file.txt"))) == "/dir/file.txt"
-    assert each(spark, ["/file.txt", "file.txt", "/dir/file.txt"], paths.is_root_entry) == [True, True, False]
+    joined = [one(spark, paths.join(F.lit(base), F.lit("log.1"))) for base in ("/srv/www", "/", "/srv/www/")]
+    assert joined == ["/srv/www/log.1", "/log.1", "/srv/www/log.1"]
+    assert each(spark, ["log.1", "/srv/log.1", "/srv"], paths.is_root_entry) == [True, False, True]
     assert each(spark, ["/D/x/y", "/ab/c", "/D"], paths.logical_to_native) == ["D:/x/y", "ab/c", "D"]
     assert each(spark, ["a/b/c", "a", "/a"], paths.parent) == ["a/b", "", ""]
     assert one(spark, paths.ancestors(F.lit("/a/b/c"))) == ["/", "/a", "/a/b", "/a/b/c"]
@@ -53,29 +52,29 @@ def test_join_and_pieces(spark):
 
 
 def test_prefix(spark):
-    hits = [one(spark, paths.starts_with_path(F.lit("/d1"), F.lit(p))) for p in ("/d1", "/d1/f1", "/d10/f1")]
-    assert hits == [True, True, False]
+    hits = [one(spark, paths.starts_with_path(F.lit("/srv"), F.lit(p))) for p in ("/srv/www", "/srvx", "/srv", "/sr")]
+    assert hits == [True, False, True, False]
     assert one(spark, paths.starts_with_path(F.lit("/"), F.lit("/x")))
 
 
 def test_mappings(spark):
-    target = lambda p, logical, source: one(spark, paths.to_target(F.lit(p), source, "/backup/target", logical))
-    assert target("/docs/file.txt", True, "/opt/dataset") == "/backup/target/docs/file.txt"
-    assert target("/home/user/source/docs/file.txt", False, "/home/user/source") == "/backup/target/docs/file.txt"
-    assert target("/other/path/file.txt", False, "/home/user/source") == "/backup/target/other/path/file.txt"
-    asked = lambda p: one(spark, paths.requested_to_logical(F.lit(p), "/opt/dataset", "/ds3"))
-    assert (asked("/d1/f1"), asked("/opt/dataset/ds3/d1")) == ("/ds3/d1/f1", "/ds3/d1")
+    target = lambda p, logical, source: one(spark, paths.to_target(F.lit(p), source, "/mnt/copy", logical))
+    assert target("/www/log.1", True, "/srv") == "/mnt/copy/www/log.1"
+    assert target("/srv/www/log.1", False, "/srv/www") == "/mnt/copy/log.1"
+    assert target("/var/log.1", False, "/srv/www") == "/mnt/copy/var/log.1"
+    asked = lambda p: one(spark, paths.requested_to_logical(F.lit(p), "/srv/pool", "/vol"))
+    assert (asked("/k/m.txt"), asked("/srv/pool/vol/k")) == ("/vol/k/m.txt", "/vol/k")
     layout = lambda name, prefix: one(spark, paths.layout_path(F.lit("/ds2/a/b"), name, prefix, "/ds2"))
     assert layout("remote_source", "") == "a/b"
-    assert layout("prefixed_remote_relative_target", "COPY_COMMON_FULL_x/D_REPO") == "COPY_COMMON_FULL_x/D_REPO/a/b"
+    assert layout("prefixed_remote_relative_target", "copies/7") == "copies/7/a/b"
     assert layout("prefixed_logical_target", "P") == "P/ds2/a/b"
     with pytest.raises(ValueError):
         paths.layout_path(F.lit("/a"), "other", "", "/")
 
 
 def test_locations(spark):
-    nfs = one(spark, paths.nfs_location(F.lit("nfs://192.168.1.10/export/data?sub=project/backup&uid=1000&gid=1000")))
-    assert tuple(nfs) == ("192.168.1.10", None, "/export/data", "project/backup", 1000, 1000)
+    nfs = one(spark, paths.nfs_location(F.lit("nfs://store.example.org/pool/seven?sub=one/two&uid=501&gid=20")))
+    assert tuple(nfs) == ("store.example.org", None, "/pool/seven", "one/two", 501, 20)
     assert one(spark, paths.nfs_location(F.lit("nfs://h/"))) is None
     smb = one(spark, paths.smb_location(F.lit("smb:\\\\h:445\\share\\a\\b?username=u&password=p")))
     assert tuple(smb) == ("h", 445, "share", "a/b", "u", True)

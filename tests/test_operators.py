@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.operators import diff, failures, links, packing, report, restore, tasks
+from lithos.operators import diff, failures, links, packing, ranking, report, restore, tasks
 from lithos.operators.filters import PathFilter, segment_matches, should_aggregate, suppressed, visible
 from lithos.plans import control
 
@@ -46,9 +46,10 @@ def test_small_predicates(spark):
 
 
 def test_id_diff(spark):
-    ids = lambda *n: spark.createDataFrame([(k,) for k in n], "id long")
-    found = diff.diff_ids(ids(1, 2, 3, 5, 8), ids(2, 3, 4, 5, 6)).orderBy("id").collect()
-    assert [tuple(r) for r in found] == [(1, "Deleted"), (4, "New"), (6, "New"), (8, "Deleted")]
+    ids = lambda n: spark.createDataFrame([(k,) for k in n], "id long")
+    before, after = set(range(-5, 40, 3)), set(range(-7, 30, 2))
+    found = {tuple(r) for r in diff.diff_ids(ids(before), ids(after)).collect()}
+    assert found == {(k, "Deleted") for k in before - after} | {(k, "New") for k in after - before}
 
 
 def test_rename_is_a_change_of_the_directory_only(spark):
@@ -91,13 +92,11 @@ def test_prefix_sum(spark):
 
 
 def test_hardlinks(spark):
-    rows = spark.createDataFrame(
-        [(1, 12345, 0x0801, 3, "/a"), (2, 12345, 0x0801, 3, "/b"), (3, 12345, 0x0801, 3, "/c"), (4, 99999, 0x0801, 1, "/d")],
-        "seq long, id long, devno long, links long, path string",
-    )
-    assert [tuple(r) for r in links.restore_groups(rows).collect()] == [(12345, 0x0801, 3, ["/a", "/b", "/c"])]
-    actions = links.link_actions(rows, ["id", "devno"], usable=F.col("path") != "/a").orderBy("seq").collect()
-    assert [(r.path, r.action, r.primary_path) for r in actions] == [("/b", "primary", "/b"), ("/c", "link", "/b")]
+    rows = spark.createDataFrame([(k, 70 + k // 3, 9, 3, f"/n{k}") for k in range(6)] + [(7, 80, 9, 1, "/alone")], "seq long, id long, devno long, links long, path string")
+    groups = sorted(tuple(r) for r in links.restore_groups(rows).collect())
+    assert groups == [(70, 9, 3, ["/n0", "/n1", "/n2"]), (71, 9, 3, ["/n3", "/n4", "/n5"])]
+    actions = links.link_actions(rows, ["id", "devno"], usable=~F.col("path").isin("/n0", "/n4")).orderBy("seq").collect()
+    assert [(r.path, r.action, r.primary_path) for r in actions] == [("/n1", "primary", "/n1"), ("/n2", "link", "/n1"), ("/n3", "primary", "/n3"), ("/n5", "link", "/n3")]
 
 
 def test_restore_policy(spark):
@@ -193,3 +192,30 @@ def test_bins_equal_a_fold_by_rows(spark, batch):
             assert out.filter("false").count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_two_level_windows(spark, block):
+    rng = random.Random(block)
+    rows = [(p, i, rng.choice([None, 0, 4, 9]), rng.choice([None, "a", "b"])) for p in ("x", None) for i in rng.sample(range(-50, 50), 40)]
+    df = spark.createDataFrame(rows, "p string, i long, n long, v string")
+    sums = {(r.p, r.i): r.s for r in ranking.running_sum(df, "p", "i", "n", "s", block).collect()}
+    numbers = {(r.p, r.i): r.k for r in ranking.row_numbers(df, "p", "i", "k", block).collect()}
+    filled = {(r.p, r.i): r.f for r in ranking.fill_forward(df, "p", "i", F.col("v"), "f", block).collect()}
+    for p in ("x", None):
+        total, last = 0, None
+        for k, (_, i, n, v) in enumerate(sorted((r for r in rows if r[0] == p), key=lambda r: r[1])):
+            last = v or last
+            assert (sums[p, i], numbers[p, i], filled[p, i]) == (total, k, last)
+            total += n or 0
+    assert ranking.running_sum(df.filter("false"), "p", "i", "n", "s").count() == 0
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), f"{rng.randrange(500):03d}") for _ in range(400)]
+    found = ranking.ranks(spark.createDataFrame(rows, "k string, t string"), ["k"], F.col("t").desc(), "rank").collect()
+    for k in ("a", "b", None):
+        own = sorted((r["rank"], r.t) for r in found if r.k == k)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1))
+        assert [t for _, t in own] == sorted((t for key, t in rows if key == k), reverse=True)
