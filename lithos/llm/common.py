@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lithos.session import scratch, ship_package
 
+#: The tables that materialize() has made and sweep() has not deleted.
+_MADE: list[str] = []
 #: Rows in one Arrow batch handed to a Python worker; bounds a worker's memory.
 BATCH_ROWS = 512
 
@@ -51,18 +53,33 @@ def bounded(spark: SparkSession) -> SparkSession:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, outlives executors."""
     path = scratch(df.sparkSession, name)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """A mark for sweep()."""
+    return len(_MADE)
+
+
+def sweep(mark: int, keep: DataFrame) -> None:
+    """Delete the tables made by materialize() since a mark, but for the last one, which is keep."""
+    for path in _MADE[mark:-1]:
+        _delete(keep.sparkSession, path)
+    del _MADE[mark:-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by materialize()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def u64_hex(col: Column) -> Column:
