@@ -171,3 +171,9 @@ def pairs_to_map(text: Column) -> Column:
 def rfc3339(ts: Column) -> Column:
     """A timestamp in UTC as 2024-01-31T12:00:00Z."""
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fold_id(hexed: Column) -> Column:
+    """A 128-bit id of 32 hex digits as a signed long: its two halves by exclusive or."""
+    half = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
+    return half(1).bitwiseXOR(half(17))

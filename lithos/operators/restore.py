@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithos.functions.hashing import control_kind
+
 #: The order in which phases run.
 PHASES = ("copy", "hardlink", "delete", "mtime")
 
@@ -45,3 +47,8 @@ def mtime_action(exists: Column) -> Column:
 def copy_action(is_symlink: Column, remote: Column) -> Column:
     """Remote pipelines skip symbolic links, local ones create them."""
     return F.when(is_symlink & remote, "skip_symlink").when(is_symlink, "symlink").otherwise("copy")
+
+
+def first_of_phases(names: DataFrame) -> DataFrame:
+    """The first control file (column name) of each phase, by name: kind, name."""
+    return names.withColumn("kind", control_kind(F.col("name"))).filter("kind IS NOT NULL").groupBy("kind").agg(F.min("name").alias("name"))

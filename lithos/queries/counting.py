@@ -213,8 +213,8 @@ def catalog_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(
     """SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 16749 ELSE 16877 END ELSE CASE WHEN id % 3 = 0 THEN 33060 ELSE 33188 END END AS mode,
         size > 0 AND size < 2000 AND id % 4 = 0 AS aggregate_block, id % 2 = id % 3 AND id % 5 = 1 AS linked, starts_with(path, dir || '/') AS below, id % 6 <> 0 OR id % 4 <> 0 AS logged,
-        string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS last_two, dir || '/' || name AS joined, round(size / 7.0::DOUBLE * 1000)::BIGINT AS rate_milli
-    FROM vdocs""", "vdocs"))
+        string_split(path, '/')[-2] || '/' || string_split(path, '/')[-1] AS last_two, dir || '/' || name AS joined, CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END::BIGINT AS folded, round(size / 7.0::DOUBLE * 1000)::BIGINT AS rate_milli
+    FROM (SELECT *, xor(('0x' || md5(path)[1:16])::UBIGINT, ('0x' || md5(path)[17:32])::UBIGINT)::HUGEINT AS x FROM vdocs)""", "vdocs"))
 def small_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Functions of one row: modes, blocks for blobs, links, ancestors, suppressed log records, path ends, rates."""
     n, size = F.col("id"), F.col("size")
@@ -224,7 +224,8 @@ def small_functions(spark: SparkSession, sf: str) -> DataFrame:
         filters.should_aggregate_block(size, F.when(n % 4 == 0, 0).otherwise(512), size, 2000).alias("aggregate_block"),
         links.already_linked(n % 2, n % 5, n % 3, F.lit(1)).alias("linked"), paths.is_ancestor(F.col("dir"), F.col("path")).alias("below"),
         (~filters.suppressed(F.when(n % 6 == 0, "smb::resource").otherwise("nfs"), message)).alias("logged"), paths.last_components(F.col("path"), 2).alias("last_two"),
-        F.concat(F.lit("/"), paths.join_relative(F.ltrim("dir", F.lit("/")), F.col("name"))).alias("joined"), F.round(scalars.rate(size, F.lit(7)) * 1000).cast("long").alias("rate_milli"),
+        F.concat(F.lit("/"), paths.join_relative(F.ltrim("dir", F.lit("/")), F.col("name"))).alias("joined"),
+        scalars.fold_id(F.md5("path")).alias("folded"), F.round(scalars.rate(size, F.lit(7)) * 1000).cast("long").alias("rate_milli"),
     )
 
 

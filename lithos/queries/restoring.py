@@ -45,6 +45,11 @@ def unresolved_requests(spark: SparkSession, sf: str) -> DataFrame:
     return control.unresolved(_requests(spark, sf), _dirs(spark, sf), catalog.docs(spark, sf))
 
 
+@query(with_views(_REQUESTS + " SELECT count(*)::BIGINT AS n, coalesce(string_agg(raw, ', ' ORDER BY raw), '') AS message FROM res WHERE kind IS NULL", "vdocs"))
+def unresolved_message(spark: SparkSession, sf: str) -> DataFrame:
+    return control.unresolved_message(control.unresolved(_requests(spark, sf), _dirs(spark, sf), catalog.docs(spark, sf)))
+
+
 @query(with_views(
     _REQUESTS + """ SELECT 'FILE' AS kind, path FROM vdocs v WHERE EXISTS (SELECT 1 FROM res WHERE kind = 'file' AND res.path = v.path
             OR kind = 'dir' AND (res.path = '/' OR res.path = v.path OR starts_with(v.path, res.path || '/')))
@@ -107,6 +112,15 @@ def phase_order(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranks(rows.withColumn("phase", restore.phase_rank(F.col("kind"))), ["kind"], F.col("name"), "rank")
 
 
+@query(with_views(
+    """, n AS (SELECT CASE id % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'hardlink' WHEN 2 THEN 'delete' WHEN 3 THEN 'mtime' ELSE 'other' END AS kind, id FROM vurls)
+    SELECT kind, min(kind || '_' || sha256(kind || ':' || id)[1:16] || '.control.bin') AS name FROM n WHERE kind <> 'other' GROUP BY kind""", "vurls"))
+def first_control_files(spark: SparkSession, sf: str) -> DataFrame:
+    phrases = F.array(*map(F.lit, ("copy", "hardlink", "delete", "mtime", "other")))
+    phrase = F.get(phrases, (F.col("id") % 5).cast("int"))
+    return restore.first_of_phases(catalog.urls(spark, sf).select(hashing.control_name(phrase, F.col("id").cast("string")).alias("name")))
+
+
 @query("""
     SELECT s.k AS source, t.k AS target, CASE WHEN s.k = 'Local' AND t.k = 'Local' THEN 'blocking' ELSE 'async' END AS pipeline,
         lower(s.k) || '_to_' || lower(t.k) AS route, s.k = 'Local' AS valid_copy_source

@@ -111,8 +111,11 @@ def test_requests(spark):
     files = spark.createDataFrame([("/d1/f1", "/d1"), ("/d10/f1", "/d10"), ("/d2/x/f", "/d2/x")], "path string, dir string")
     dirs = spark.createDataFrame([("/",), ("/d1",), ("/d10",), ("/d2",), ("/d2/x",)], "path string")
     d, f = spark.createDataFrame([("/d1",)], "path string"), spark.createDataFrame([("/d2/x/f",)], "path string")
-    assert sorted(r.path for r in control.select_files(files, d, f).collect()) == ["/d1/f1", "/d2/x/f"]
-    assert sorted(r.path for r in control.select_dirs(dirs, d, f, files).collect()) == ["/", "/d1", "/d2", "/d2/x"]
+    named = d.select("path", F.lit("dir").alias("kind")).unionByName(f.select("path", F.lit("file").alias("kind")))
+    found = control.fine_grain(named, dirs, files).collect()
+    assert sorted(r.path for r in found if r.kind == "FILE") == ["/d1/f1", "/d2/x/f"]
+    assert sorted(r.path for r in found if r.kind == "DIR") == ["/", "/d1", "/d2", "/d2/x"]
+    assert control.fine_grain(named.filter("false"), dirs, files).count() == 0
     asked = spark.createDataFrame([("d1", "/d1"), ("gone", "/gone")], "raw string, path string")
     assert [r.raw for r in control.unresolved(asked, dirs, files).collect()] == ["gone"]
 
