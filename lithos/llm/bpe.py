@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lithos.llm.common import bounded, project
+from lithos.llm.common import bounded, project, spread
 from lithos.llm.tokens import Generations, Spans, cut, read_ranks, tails_of
 
 #: Words above this many bytes are cut where no token can span.
@@ -286,7 +286,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True)
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"],
             )
 
-    return project(docs, doc_id="long", text="string").mapInArrow(
+    return spread(project(docs, doc_id="long", text="string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded binary"
     )
 

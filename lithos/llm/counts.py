@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, project
+from lithos.llm.common import bounded, project, spread
 from lithos.llm.tokens import Spans, read_ranks
 
 #: Characters of a leaf, up to the next border.
@@ -255,7 +255,7 @@ def count(docs: DataFrame, rank_file: str, pattern: str, edits: Column | None =
     """
     bounded(docs.sparkSession)
     own = F.lit(None) if edits is None else edits
-    rows = project(docs, doc_id="long", text="string").select("doc_id", "text", own.cast(EDITS).alias("edits"))
+    rows = spread(project(docs, doc_id="long", text="string")).select("doc_id", "text", own.cast(EDITS).alias("edits"))
     return _counted(rows, rank_file, pattern)
 
 

@@ -36,7 +36,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lithos.llm.common import bounded, project
+from lithos.llm.common import bounded, project, spread
 
 #: Lines in a window of the distribution.
 WINDOW = 3
@@ -316,5 +316,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = project(pages, page_id="long", url="string", html="string")
+    rows = spread(project(pages, page_id="long", url="string", html="string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

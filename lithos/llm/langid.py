@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, numbered, project
+from lithos.llm.common import bounded, numbered, project, spread
 
 UNDETERMINED = "und"
 #: Bound of the training sample: expected documents per language.
@@ -305,7 +305,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     bounded(docs.sparkSession)
-    rows = project(docs, doc_id="long", text="string").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    rows = spread(project(docs, doc_id="long", text="string")).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lithos.llm import jpeg
-from lithos.llm.common import bounded, project
+from lithos.llm.common import bounded, project, spread
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -75,7 +75,7 @@ def store(docs: DataFrame, with_media: bool = True) -> DataFrame:
                     names=["doc_id", *(name for name, _ in _COLUMNS)],
                 )
 
-    return project(docs, doc_id="long", text="string").mapInArrow(
+    return spread(project(docs, doc_id="long", text="string")).mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
         " media_sha256 string, feature string, media binary, rgb binary",

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, discard, materialize, numbered, place, project, u64_hex
+from lithos.llm.common import bounded, discard, materialize, numbered, place, project, spread, u64_hex
 from lithos.llm.wordhash import word_spans
 
 SHINGLE = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return project(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return spread(project(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
