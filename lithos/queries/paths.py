@@ -10,6 +10,7 @@ from lithos.catalog import with_views
 from lithos.functions import hashing, paths
 from lithos.operators.filters import PathFilter, entry_kind, path_segments, segment_matches, visible, within_depth
 from lithos.queries import query
+from lithos.session import spread
 
 _SEGS = "list_filter(string_split(path, '/'), lambda x: x <> '')"
 
@@ -146,7 +147,7 @@ def _fnv_sql(text: str, basis: int) -> str:
     f""", s AS (SELECT dir_id, ({_fnv_sql('path', hashing.PLAN_BASIS)} % 16)::BIGINT AS shard FROM vdirs)
     SELECT shard, count(*)::BIGINT AS entries, min(dir_id)::BIGINT AS first_dir, max(dir_id)::BIGINT AS last_dir FROM s GROUP BY shard""", "vdirs"))
 def fnv_shard_plan(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.dirs(spark, sf).select("dir_id", hashing.plan_shard(F.col("path"), 16).alias("shard"))
+    rows = spread(catalog.dirs(spark, sf).select("dir_id", "path")).select("dir_id", hashing.plan_shard(F.col("path"), 16).alias("shard"))
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.min("dir_id").alias("first_dir"), F.max("dir_id").alias("last_dir"))
 
 

@@ -8,7 +8,21 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Bytes a core under which a table is dealt over all cores before costly work on its rows.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a table of one file with one row group is else one task, however many cores there are.
+
+    A table above SPREAD_BYTES a core has partitions enough, so what goes through the shuffle is bounded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
 def ship_package(spark: SparkSession) -> None:
