@@ -11,8 +11,9 @@ from lithos.functions import paths, scalars
 from lithos.operators import counters, diff, filters, links, report, restore, tasks
 from lithos.queries import query
 from lithos.queries.reports import _KINDS, _records
-from lithos.session import scratch
+from lithos.session import scratch, ship_package
 from lithos.sources import sinks
+from lithos.sources.fstree import FsTree, checksums
 
 _ENTRIES = """, e AS (SELECT 'file' AS kind, size, id % 11 = 0 AS failed, false AS is_root FROM vfiles
     UNION ALL SELECT 'dir', NULL, dir_id % 13 = 0, dir_id % 17 = 0 FROM vdirs)"""
@@ -253,3 +254,32 @@ def source_layouts(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.createDataFrame([("local", "/srv/data"), ("nfs", "nfs://h/export/home"), ("smb", "smb://h/share")], "spec string, location string")
     layout = paths.source_layout(F.col("location"))
     return rows.select("spec", layout["base"].alias("base"), layout["root"].alias("root"))
+
+
+def _region_folder(spark: SparkSession, sf: str) -> str:
+    """A folder of text files, one a region, in a folder of its own each."""
+    path = scratch(spark, "tree")
+    rows = catalog.table(spark, sf, "region").select("r_name", F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("value"))
+    rows.repartition("r_name").write.partitionBy("r_name").text(path)
+    return path
+
+
+@query("""
+    SELECT 'dir' AS kind, '/' AS parent, count(*)::BIGINT AS n FROM region UNION ALL SELECT 'root', '/', 1
+    UNION ALL SELECT 'file', '/', 1 UNION ALL SELECT 'file', '/r_name=' || r_name, count(*) FROM region GROUP BY r_name""")
+def tree_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The walk of a folder: entries of each kind below each directory (the writer leaves a file of its own at the top)."""
+    spark.dataSource.register(FsTree)
+    ship_package(spark)
+    root = _region_folder(spark, sf).removeprefix("file://")
+    rows = spark.read.format("fstree").load(root)
+    kind = F.when(F.col("path") == "/", "root").otherwise(F.col("kind"))
+    return rows.groupBy(kind.alias("kind"), F.col("dir").alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT '/r_name=' || r_name AS parent, strlen('region ' || r_regionkey)::BIGINT + 1 AS size, sha256('region ' || r_regionkey || chr(10)) AS checksum FROM region")
+def checksum_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of a folder with the digests of their contents; spellings that URIs change are changed back."""
+    found = checksums(spark, _region_folder(spark, sf))
+    parent = F.url_decode(F.replace(F.regexp_replace("path", "/[^/]*$", ""), F.lit("+"), F.lit("%2B")))
+    return found.select(parent.alias("parent"), "size", "checksum")

@@ -18,6 +18,8 @@ import re
 import stat
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = (
@@ -170,3 +172,13 @@ class FsTree(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(dict(self.options))
+
+
+def checksums(spark, root: str) -> DataFrame:  # noqa: ANN001
+    """Files below a folder of any store: path (below the folder), size, mtime, checksum (SHA-256 of the content). Hidden names are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    bare = re.sub(r"^[a-z0-9+.-]+:/+", "/", root.rstrip("/"))
+    plain = F.regexp_replace("path", "^[a-z0-9+.-]+:/+", "/")
+    return files.select(
+        F.substring(plain, len(bare) + 1, 1 << 30).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("checksum")
+    )
