@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table above SPREAD_BYTES a core has partitions enough, so what goes through the shuffle is bounded.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 

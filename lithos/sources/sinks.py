@@ -30,7 +30,7 @@ def write_plan(plan: DataFrame, path: str, shards: int, rows_per_file: int = 1_0
 
 
 def plan_header(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("shard").agg(F.count_if(F.col("kind") == "DIR").alias("dirs"), F.count_if(F.col("kind") == "FILE").alias("files"))
+    return plan.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count_if(F.col("kind") == "DIR").alias("dirs"), F.count_if(F.col("kind") == "FILE").alias("files"))
 
 
 def rewrite_plan(spark: SparkSession, source: str, target: str, column: str, mapping) -> None:  # noqa: ANN001
