@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes a core under which a table is dealt over all cores before costly work on its rows.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
