@@ -16,7 +16,8 @@ add up, and a pair over the budget is pruned. Of each bucket's links only a
 spanning forest is sent on, so edges grow with the fingerprints, not with pairs.
 
 Components: alternating large-star and small-star steps, each written to the
-shared folder, until the edges no longer change.
+shared folder, until the edges no longer change; up to FEW edges are joined by one
+task instead.
 
 Copies meet before the join: it runs over distinct fingerprints, and a component's
 smallest doc_id is looked up afterwards, so any 64-bit id can stand there.
@@ -46,6 +47,8 @@ BUDGET = 2
 SEED = 42
 #: A bucket of more fingerprints is dealt again by the bits that it leaves open.
 HOT = 1024
+#: Edges that one task joins; they take 16 bytes each.
+FEW = 1 << 20
 #: Fingerprints whose tries are joined in one go.
 _TOGETHER = 1 << 16
 _PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
@@ -203,18 +206,30 @@ def links(classes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame
     return buckets.mapInArrow(join, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, component) for every node of edges (a, b): component is the smallest node reached.
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """Rows (node, component) for every node of edges (a, b), the smallest included: component is the smallest node reached.
 
     Alternates large-star and small-star; each round's edges are written to the shared
-    folder, so a lost executor costs at most one round.
+    folder, so a lost executor costs at most one round. Up to `few` edges are joined by one task.
     """
 
     def seal(df: DataFrame) -> tuple[DataFrame, tuple]:
         out = materialize(df, "edges")
         return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if ends:
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+            nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = spanning(len(nodes), at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
     edges, mark = seal(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if mark[0] <= few:
+        out = materialize(edges.coalesce(1).mapInArrow(join, "node long, component long"), "components")
+        discard(edges)
+        return out
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -228,7 +243,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before, mark = after, mark, now
         if mark == before:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
 def classify(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

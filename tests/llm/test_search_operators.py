@@ -123,6 +123,32 @@ def test_links_connect_what_the_budget_connects(spark, hot):
     assert len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize("few", [0, simhash.FEW])
+def test_components_hold_every_node(spark, few):
+    """The smallest node of a component is a row too, by stars and by one task."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = [(r.node, r.component) for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), few).collect()]
+    assert len(found) == len(root) and dict(found) == root
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def test_simhash_component_of_any_order(docs):
+    """The smallest doc_id counts whichever of the linked fingerprints it has."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(400)) for k in range(12)]
+    rows = [(x, t + " and" * (x % 2)) for k, t in enumerate(texts) for x in (2 * k, 2 * k + 101)]
+    for rows in (rows, [(-i, t) for i, t in rows]):
+        prints = {i: _print(t) for i, t in rows}
+        want = _components(prints, 2)
+        assert {r.doc_id: r.component_id for r in simhash.classify(docs(rows)).collect()} == want
+        assert any(prints[i] != prints[j] for i, j in want.items())
+
+
 def test_simhash(spark, odd, empty):
     found = simhash.classify(odd).collect()
     assert len(found) == odd.count()
