@@ -7,9 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.session import scratch, ship_package, spread
+from lithos.session import release, scratch, ship_package, spread
 
-__all__ = ["BATCH_ROWS", "bounded", "discard", "made", "materialize", "numbered", "place", "project", "spread", "sweep", "u64_hex"]
+__all__ = ["BATCH_ROWS", "bounded", "discard", "made", "materialize", "numbered", "place", "project", "release", "spread", "sweep", "u64_hex"]
 
 #: The tables that materialize() has made and sweep() has not deleted.
 _MADE: list[str] = []

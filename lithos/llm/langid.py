@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, numbered, project, spread
+from lithos.llm.common import bounded, numbered, project, release, spread
 
 UNDETERMINED = "und"
 #: Bound of the training sample: expected documents per language.
@@ -299,6 +299,7 @@ def train(docs: DataFrame, model_file: str, docs_per_lang: int = DOCS_PER_LANG)
         counts[place[word], column[lang]] = n
     del counted
     pa.default_memory_pool().release_unused()
+    release(docs.sparkSession)
     return Model(langs, pieces, fit(Pieces(pieces), words, counts))
 
 

@@ -16,13 +16,18 @@ checked on the sets. A pair at exactly 0.8 meets in some lane with probability 0
 (sets of some ten shingles or more; 0.84 for sets of 4 and 5), and keeps to CHECK with
 0.999; both rise with the similarity.
 
-Equal lanes of many classes (SMALL or more) are groups of like documents, of which not
-all pairs are formed: each class is paired with the group's least class and with its
-neighbours by the order of other bits, in every lane anew, and two such groups
-by their least classes; so pairs grow with the classes. Buckets above PART classes are dealt into parts, and the bucket's least class
-meets them all. Pairs are checked in rounds (TURNS): one pair a class, that with the
-least class of a bucket, then a few, then all, and each time only those whose classes
-are not yet connected.
+Pairs are checked in rounds (TURNS): one pair a class, that with the least class of a
+bucket, then a few, then more, and each time only those whose classes are not yet
+connected. Equal lanes of many classes (over SMALL) are groups of like documents. In the
+rounds each of their classes is paired with the group's least class and with its
+neighbours by the order of other bits, in every lane anew, and two such groups by their
+least classes. Their other pairs are formed after the rounds (`rest`), when most of
+their classes are connected: every pair of a group, and of groups that differ by the
+budget, whose classes are in two components goes on by the whole fingerprint (WIDE; sets
+under SHORT go without) to the check. So no pair within the budgets is left out, and
+what is formed grows with the pairs between components. Buckets above PART classes
+are dealt again by either half of the 12 bits that they leave open, of which a budget of
+1 leaves one half equal; groups above BLOCK classes are dealt to pairs of blocks.
 
 Defined results: as in `simhash.keep_one`; null text is a text without words, and
 texts without words are copies of each other.
@@ -39,8 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.llm.common import bounded, discard, materialize, numbered, place, project, spread
-from lithos.llm.simhash import components, trie_pairs
+from lithos.llm.common import bounded, discard, materialize, numbered, place, project, release, spread
+from lithos.llm.simhash import components, spanning, trie_pairs
 from lithos.llm.wordhash import mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -53,8 +58,13 @@ HALF = 12
 BUDGET, CHECK = 1, 32
 SMALL = 4
 PART = 1 << 15
-#: The turns of a class's pairs at which rounds of checks begin.
-TURNS = (1, 2, 6, 22, 1 << 31)
+#: Differing bits allowed in the whole fingerprint of 1088 bits by `rest`: four standard deviations above what
+#: similarity 0.8 has (165 and 12); sets of fewer than SHORT shingles can differ in more.
+WIDE, SHORT = 212, 10
+#: Classes of a group that meet in one task.
+BLOCK = 1 << 12
+#: The turns of a class's pairs at which rounds of checks begin, and end.
+TURNS = (1, 2, 6, 22)
 _WORDS = LANES * 2 * HALF // 64 + 2
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, _WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,16 +104,17 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, fp)."""
+    """Rows (doc_id, node, fp, size): size is the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(x) for x in b.column(1).to_pylist()]
             nodes = pa.array([node_of(x) for x in found], pa.int64())
             prints = pa.array([fingerprint(x).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), nodes, prints], names=["doc_id", "node", "fp"])
+            sizes = pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, prints, sizes], names=["doc_id", "node", "fp", "size"])
 
-    return spread(project(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, node long, fp binary")
+    return spread(project(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, node long, fp binary, size long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -124,6 +135,11 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return texts.join(needed, same, "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The lanes of fingerprints, a row of bytes each."""
+    return raw[:, : 3 * LANES].reshape(len(raw), LANES, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+
+
 def dealt(classes: DataFrame) -> DataFrame:
     """Rows (bucket, other, c1, c2, node): both halves of each lane of (node, fp); the other half and the bits beyond the lanes go along."""
 
@@ -131,7 +147,7 @@ def dealt(classes: DataFrame) -> DataFrame:
         for b in batches:
             n = b.num_rows
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, 8 * _WORDS)
-            lanes = raw[:, : 3 * LANES].reshape(n, LANES, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+            lanes = _lanes(raw)
             low, high = lanes & ((1 << HALF) - 1), lanes >> HALF
             base = np.arange(LANES, dtype=np.int32) << (HALF + 1)
             bucket = np.stack((base + low, base + (1 << HALF) + high), axis=2).reshape(-1)
@@ -146,8 +162,12 @@ def dealt(classes: DataFrame) -> DataFrame:
     return classes.select("node", "fp").mapInArrow(run, "bucket int, other int, c1 long, c2 long, node long")
 
 
-def _some_pairs(owner: np.ndarray, lane: np.ndarray, other: np.ndarray, c1: np.ndarray, c2: np.ndarray, node: np.ndarray, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (i, j) in buckets (owner) of lanes: within groups of equal lanes, and between groups by the trie."""
+def _some_pairs(
+    owner: np.ndarray, bucket: np.ndarray, other: np.ndarray, c1: np.ndarray, c2: np.ndarray, node: np.ndarray, small: int
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (i, j) in buckets (owner): all of small groups of equal lanes, and some of large ones; and the rows
+    of which not all pairs are formed, with the first row of their cluster (the large groups that are linked)."""
+    whole, some = [], []
     order = np.lexsort((c1, other, owner))
     key = (owner[order].astype(np.int64) << HALF) | other[order]
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -160,15 +180,15 @@ def _some_pairs(owner: np.ndarray, lane: np.ndarray, other: np.ndarray, c1: np.n
         at = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:])
         if not len(at):
             break
-        yield order[at + d], order[at]
+        whole.append((order[at + d], order[at]))
     if large.any():
         rows = np.flatnonzero(large)
-        yield order[rows], least[group[rows]]
+        some.append((order[rows], least[group[rows]]))
         # neighbours by the one or the other word beyond the lanes, lane by lane in turn
-        word = np.where(lane[order[rows]] % 2 == 0, c1[order[rows]], c2[order[rows]])
+        word = np.where((bucket[order[rows]] >> (HALF + 1)) % 2 == 0, c1[order[rows]], c2[order[rows]])
         turn = rows[np.lexsort((word, group[rows]))]
         same = group[turn[1:]] == group[turn[:-1]]
-        yield order[turn[1:][same]], order[turn[:-1][same]]
+        some.append((order[turn[1:][same]], order[turn[:-1][same]]))
     # groups of a bucket whose lanes differ by the budget
     cuts = np.flatnonzero(np.append(True, owner[order[new]][1:] != owner[order[new]][:-1]))
     values = other[order[new]].astype(np.uint64) << np.uint64(64 - HALF)
@@ -178,20 +198,29 @@ def _some_pairs(owner: np.ndarray, lane: np.ndarray, other: np.ndarray, c1: np.n
     many = size[x] * size[y]
     pair = np.repeat(np.arange(len(x)), many)
     k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
-    yield order[new[x[pair]] + k // size[y[pair]]], order[new[y[pair]] + k % size[y[pair]]]
-    yield least[a[~few]], least[b[~few]]
-
-
-def candidates(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
-    """Rows (a, b, turn): pairs of nodes, a > b, that keep to the budgets; turn counts the pairs of a, those with a bucket's least node first."""
+    whole.append((order[new[x[pair]] + k // size[y[pair]]], order[new[y[pair]] + k % size[y[pair]]]))
+    a, b = a[~few], b[~few]
+    some.append((least[a], least[b]))
+    # a group stands in a bucket of either half of its lane; the pairs in it are formed in that of the lower half
+    held = (size > small) & ((bucket[order[new]] >> HALF) % 2 == 0)
+    held[a] = held[b] = True
+    rows = np.flatnonzero(held[group])
+    return whole, some, (order[rows], order[new[spanning(len(new), a, b)[group[rows]]]])
+
+
+def met(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
+    """Rows (a, b, first, plain, cluster, n): pairs of nodes, a > b, that keep to the budgets (first: with a bucket's
+    least node; plain: not formed by `rest`); and, with a null b, nodes of which `rest` is to form the pairs in a cluster of n rows."""
     rows = dealt(classes)
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "c1", "c2")).alias("least")).filter("size > 1")
+    half = HALF // 2
+    again = F.array(F.shiftright("other", half) + 1, F.col("other").bitwiseAND((1 << half) - 1) + 1 + (1 << half))
     buckets = (
         rows.join(counts, "bucket")
-        .withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / part)))
-        .groupBy("bucket", "part")
+        .withColumn("piece", F.explode(F.when(F.col("size") > part, again).otherwise(F.array(F.lit(0)))))
+        .groupBy("bucket", "piece")
         .agg(F.collect_list(F.struct("other", "c1", "c2", "node")).alias("rows"), F.first("least").alias("least"))
-        .select("rows", "least.node", "least.c1", "least.c2", "bucket")
+        .select("rows", "least.node", "least.c1", "least.c2", "bucket", "piece")
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,24 +233,94 @@ def candidates(classes: DataFrame, small: int = SMALL, part: int = PART) -> Data
                 flat = lists.values.slice(offsets[at], offsets[to] - offsets[at])
                 other, c1, c2, node = (flat.field(k).to_numpy() for k in ("other", "c1", "c2", "node"))
                 owner = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
-                lane = b.column(4).to_numpy()[at:to][owner] >> (HALF + 1)
-                some = list(_some_pairs(owner, lane, other, c1, c2, node, small))
-                i, j = (np.concatenate(x) for x in zip(*some, strict=True))
-                # the bucket's least class meets every part of it
-                lead = [b.column(k).to_numpy()[at:to][owner] for k in (1, 2, 3)]
-                ends = [np.concatenate((x[i], x)) for x in (node, c1, c2)], [np.concatenate((x[j], y)) for x, y in zip((node, c1, c2), lead, strict=True)]
+                bucket, piece = (b.column(k).to_numpy()[at:to][owner].astype(np.int64) for k in (4, 5))
+                whole, some, (held, lead) = _some_pairs(owner, bucket, other, c1, c2, node, small)
+                i, j = (np.concatenate(x) for x in zip(*whole, *some, strict=True))
+                # the bucket's least class meets every class
+                first = [b.column(k).to_numpy()[at:to][owner] for k in (1, 2, 3)]
+                ends = [np.concatenate((x[i], x)) for x in (node, c1, c2)], [np.concatenate((x[j], y)) for x, y in zip((node, c1, c2), first, strict=True)]
                 (x, x1, x2), (y, y1, y2) = ends
                 differ = sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64) for p, q in ((x1, y1), (x2, y2)))
                 keep = (differ <= CHECK) & (x != y)
-                first = np.arange(len(x)) >= len(i)
+                number = np.arange(len(x))[keep]
+                n, none = len(number), len(held)
+                _, own, times = np.unique(lead, return_inverse=True, return_counts=True)
+                cluster = (bucket[lead] << 20) | (piece[lead] << HALF) | other[lead]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(x, y)[keep]), pa.array(np.minimum(x, y)[keep]), pa.array(first[keep])], names=["a", "b", "first"]
+                    [
+                        pa.array(np.concatenate((np.maximum(x, y)[keep], node[held]))),
+                        pa.concat_arrays([pa.array(np.minimum(x, y)[keep]), pa.nulls(none, pa.int64())]),
+                        pa.array(np.concatenate((number >= len(i), np.zeros(none, bool)))),
+                        pa.array(np.concatenate((number < sum(len(p) for p, _ in whole), np.zeros(none, bool)))),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(cluster)]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[own].astype(np.int64))]),
+                    ],
+                    names=["a", "b", "first", "plain", "cluster", "n"],
                 )
                 at = to
 
-    each = buckets.mapInArrow(pairs, "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
+    return buckets.mapInArrow(pairs, "a long, b long, first boolean, plain boolean, cluster long, n long")
+
+
+def turns(found: DataFrame) -> DataFrame:
+    """Rows (a, b, turn, plain) of the pairs met; turn counts the pairs of a, those with a bucket's least node first."""
+    each = found.filter("b is not null").groupBy("a", "b").agg(F.max("first").alias("first"), F.max("plain").alias("plain"))
     turn = F.row_number().over(Window.partitionBy("a").orderBy(F.col("first").desc(), "b"))
-    return each.select("a", "b", turn.alias("turn"))
+    return each.select("a", "b", turn.alias("turn"), "plain")
+
+
+def _close(rows: pa.Table) -> pa.Table:
+    """The pairs (a, b) of a cluster's rows that keep to all budgets, are in two components and meet in no earlier lane."""
+    x, y, cluster = (rows.column(k)[0].as_py() for k in ("x", "y", "cluster"))
+    node, component, size, part = (rows.column(k).to_numpy() for k in ("node", "component", "size", "part"))
+    n, lane = len(node), cluster >> (20 + HALF + 1)
+    raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(n, 8 * _WORDS)
+    words, lanes = raw.view(np.uint64), _lanes(raw)
+    out = [np.empty((0, 2), np.int64)]
+    common = component == np.unique(component)[np.unique(component, return_counts=True)[1].argmax()]
+    # a pair has an end outside the most common component
+    left = np.flatnonzero(~common)
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        near_by = (component[i, None] != component) & (np.bitwise_count(lanes[i, lane, None] ^ lanes[:, lane]) <= BUDGET)
+        near_by &= common | (i[:, None] < np.arange(n))
+        near_by &= np.minimum(size[i, None], size) * NEAR[1] >= np.maximum(size[i, None], size) * NEAR[0]
+        if x != y:
+            near_by &= part[i, None] != part
+        p, q = np.nonzero(near_by)
+        for start in range(0, len(p), 1 << 16):
+            a, b = i[p[start : start + (1 << 16)]], q[start : start + (1 << 16)]
+            differ = np.bitwise_count(words[a] ^ words[b]).astype(np.int64)
+            keep = differ[:, -2:].sum(axis=1) <= CHECK
+            keep &= (differ.sum(axis=1) <= WIDE) | (np.minimum(size[a], size[b]) < SHORT)
+            a, b = a[keep], b[keep]
+            keep = ~(np.bitwise_count(lanes[a, :lane] ^ lanes[b, :lane]) <= BUDGET).any(axis=1)
+            a, b = node[a[keep]], node[b[keep]]
+            out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1))
+    found = np.concatenate(out)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def rest(found: DataFrame, classes: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b): the pairs in clusters of `met` that keep to the budgets and are in two components of label (node, component)."""
+    held = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("cluster", "n")).alias("clusters"))
+    rows = held.join(classes.select("node", "fp", "size"), "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    schema = "cluster long, x long, y long, part long, node long, component long, size long, fp binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                for c in r["clusters"]:
+                    blocks = -(-c["n"] // block)
+                    own = r["node"] % blocks
+                    out += [(c["cluster"], min(own, k), max(own, k), own, r["node"], r["component"], r["size"], r["fp"]) for k in range(blocks)]
+            kinds = [*[pa.int64()] * 7, pa.binary()]
+            names = ["cluster", "x", "y", "part", "node", "component", "size", "fp"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    each = rows.select("node", "component", "size", "fp", "clusters").mapInArrow(deal, schema)
+    return each.groupBy("cluster", "x", "y").applyInArrow(_close, "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,24 +338,34 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def classify(docs: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, small: int = SMALL, part: int = PART, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id reached."""
     bounded(docs.sparkSession)
     prints = materialize(_prints(docs), "prints")
-    found = materialize(candidates(prints.dropDuplicates(["node"])), "candidates")
-    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    classes = prints.select("node", "fp", "size").dropDuplicates(["node"])
+    pool = materialize(met(classes, small, part), "met")
+    found = materialize(turns(pool), "candidates")
+    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).union(pool.filter("b is null").select("a")).distinct()
     reps = prints.groupBy("node").agg(F.min("doc_id").alias("rep"))
     sets = materialize(_sets(docs, reps.join(nodes, "node", "left_semi")), "sets")
-    made = [found, sets]
+    made = [pool, found, sets]
     edges, label = found.select("a", "b").filter("false"), None
-    for least, most in itertools.pairwise(TURNS):
-        pairs = found.filter((F.col("turn") >= least) & (F.col("turn") < most))
-        if label is not None:  # a pair inside a component can add nothing
-            ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
-            pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose classes are not connected yet; others can add nothing."""
+        ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+        return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    for least, most in [*itertools.pairwise(TURNS), (TURNS[-1], None)]:
+        if most:
+            pairs = found.filter((F.col("turn") >= least) & (F.col("turn") < most))
+            pairs = pairs if label is None else apart(pairs)
+        else:
+            pairs = apart(found.filter((F.col("turn") >= least) & F.col("plain"))).unionByName(rest(pool, classes, label, block)).distinct()
         edges = materialize(edges.unionByName(checked(pairs, sets)), "near")
         label = components(edges)
         made += [edges, label]
+        release(docs.sparkSession)
     for table in made[:-1]:
         discard(table)
     reps = reps.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -298,6 +298,38 @@ def test_near_dedup_edges(spark, odd, empty):
     assert near.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"small": 1, "part": 40, "block": 16}])
+def test_near_dedup_leaves_out_no_pair_of_a_large_group(spark, limits):
+    """Of a large group every two documents that are near and meet in a lane are connected, and no others."""
+    from lithos.llm import near
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(700):  # runs of edits at a few places: many pairs lie just below 0.8
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            at = rng.randrange(150)
+            copy[at : at + 3] = [f"e{at}y{rng.randrange(4)}"] * 3
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [near.shingles(t) for t in texts]
+    raw = np.stack([near.fingerprint(s) for s in sets])
+    lanes = raw[:, : 3 * near.LANES].reshape(len(raw), near.LANES, 3).astype(np.int32) @ np.array([1, 1 << 8, 1 << 16], np.int32)
+    root, true = list(range(len(texts))), list(range(len(texts)))
+    for j in range(len(texts)):
+        met = (np.bitwise_count(lanes[:j] ^ lanes[j]) <= 1).any(axis=1) & (np.bitwise_count(raw[:j, 3 * near.LANES :] ^ raw[j, 3 * near.LANES :]).sum(axis=1) <= near.CHECK)
+        for i in range(j):
+            if near.near(sets[i], sets[j]):
+                for r in (root, true) if met[i] else (true,):
+                    low, high = sorted((r[i], r[j]))
+                    r[:] = [low if x == high else x for x in r]
+    assert len(texts) // 20 < len(set(root))
+    found = {r.doc_id: r.component_id for r in near.classify(docs, **limits).collect()}
+    assert all(found[i] == found[low] for i, low in enumerate(root))
+    assert all(true[i] == true[low] for i, low in found.items())
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage on its own input: what must go goes, what is clean stays."""
     import corpus_pipeline
