@@ -7,27 +7,26 @@ sets. Documents of equal sets form one class and meet before anything else.
 
 The fingerprint is a SimHash (a bit is 1 if it is set in over half the set's hashes) of
 LANES lanes of 24 bits and 128 bits more. At a similarity of 0.8 two fingerprints
-differ in about 15 of 100 bits, so one trie over
-all bits would have to let nearly every pair of nodes through. Each lane is therefore a
-trie of its own with a budget of 1: as one half of the lane is then equal, both halves
-deal the classes into buckets, where the tries over the other half are joined with
-themselves. A pair goes on if the 128 bits keep to the budget of CHECK, and is then
-checked on the sets. A pair at exactly 0.8 meets in some lane with probability 0.987
-(sets of some ten shingles or more; 0.84 for sets of 4 and 5), and keeps to CHECK with
-0.999; both rise with the similarity.
-
-Pairs are checked in rounds (TURNS): one pair a class, that with the least class of a
-bucket, then a few, then more, and each time only those whose classes are not yet
-connected. Equal lanes of many classes (over SMALL) are groups of like documents. In the
-rounds each of their classes is paired with the group's least class and with its
-neighbours by the order of other bits, in every lane anew, and two such groups by their
-least classes. Their other pairs are formed after the rounds (`rest`), when most of
-their classes are connected: every pair of a group, and of groups that differ by the
-budget, whose classes are in two components goes on by the whole fingerprint (WIDE; sets
-under SHORT go without) to the check. So no pair within the budgets is left out, and
-what is formed grows with the pairs between components. Buckets above PART classes
-are dealt again by either half of the 12 bits that they leave open, of which a budget of
-1 leaves one half equal; groups above BLOCK classes are dealt to pairs of blocks.
+differ in about 15 of 100 bits, so one trie over all bits would have to let nearly every
+pair of nodes through. Each lane is therefore a trie of its own with a budget of 1: as
+one half of the lane is then equal, both halves deal the classes into buckets, where the tries over the other half are joined with
+themselves. Two classes are linked if the 128 bits also keep to the budget of CHECK;
+whatever their lanes, so are a class and the least of its bucket, and neighbours by
+either half of the 128 bits. A pair at exactly 0.8 meets in some lane with probability
+0.987 (sets of some ten shingles or more; 0.84 for sets of 4 and 5), and keeps to CHECK
+with 0.999; both rise with the similarity.
+
+Of each bucket's links only a spanning forest is sent on, at most one row a class of
+the bucket, however many of them are alike. What the links connect is a family; near
+copies that are linked are in one. The sets of a family then meet, once and not lane by
+lane: every pair of them that the task has not connected yet, that differs in at most
+WIDE bits of the whole fingerprint (sets under SHORT go without) is counted on the
+sets, and again only a spanning forest of the near pairs is sent on. So rows grow with
+the classes; only comparisons inside a task grow with the pairs of a family. Families
+above BLOCK classes or SHINGLES shingles are dealt to pairs of blocks, buckets above
+PART classes again by either half of the 12 bits that they leave open, of which a
+budget of 1 leaves one half equal. Two groups of equal lanes above SMALL classes are
+linked whole, without the 128 bits.
 
 Defined results: as in `simhash.keep_one`; null text is a text without words, and
 texts without words are copies of each other.
@@ -35,13 +34,12 @@ texts without words are copies of each other.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.llm.common import bounded, discard, materialize, numbered, place, project, release, spread
@@ -56,15 +54,14 @@ LANES = 40
 HALF = 12
 #: Differing bits allowed in a lane, and in the 128 bits beyond the lanes.
 BUDGET, CHECK = 1, 32
-SMALL = 4
+#: Classes of a group of equal lanes up to which every link is tested on the bits beyond the lanes.
+SMALL = 1 << 10
 PART = 1 << 15
-#: Differing bits allowed in the whole fingerprint of 1088 bits by `rest`: four standard deviations above what
-#: similarity 0.8 has (165 and 12); sets of fewer than SHORT shingles can differ in more.
-WIDE, SHORT = 212, 10
-#: Classes of a group that meet in one task.
-BLOCK = 1 << 12
-#: The turns of a class's pairs at which rounds of checks begin, and end.
-TURNS = (1, 2, 6, 22)
+#: Differing bits of the whole fingerprint of 1088 up to which sets are compared: seven standard deviations above
+#: what similarity 0.8 has (165 and 12); sets of fewer than SHORT shingles can differ in more.
+WIDE, SHORT = 256, 10
+#: Classes, and shingles on average, of a family that one block holds; two blocks meet in one task.
+BLOCK, SHINGLES = 1 << 12, 1 << 21
 _WORDS = LANES * 2 * HALF // 64 + 2
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, _WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +91,7 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted distinct arrays have a Jaccard similarity of at least NEAR."""
+    """Whether two sorted distinct arrays have a Jaccard similarity of at least NEAR: the definition, that `_close` counts in bulk."""
     if min(len(a), len(b)) * NEAR[1] < max(len(a), len(b)) * NEAR[0]:
         return False
     both = np.concatenate((a, b))
@@ -104,26 +101,27 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, fp, size): size is the number of shingles."""
+    """Rows (doc_id, node, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(x) for x in b.column(1).to_pylist()]
             nodes = pa.array([node_of(x) for x in found], pa.int64())
             prints = pa.array([fingerprint(x).tobytes() for x in found], pa.binary())
-            sizes = pa.array([len(x) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), nodes, prints, sizes], names=["doc_id", "node", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, prints], names=["doc_id", "node", "fp"])
 
-    return spread(project(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, node long, fp binary, size long")
+    return spread(project(docs, doc_id="long", text="string")).mapInArrow(run, "doc_id long, node long, fp binary")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows (node, shingles) for the classes (node, rep) in needed."""
+    """Rows (node, fp, shingles, size) for the classes (node, rep) in needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(x).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+            found = [shingles(x) for x in b.column(1).to_pylist()]
+            prints = pa.array([fingerprint(x).tobytes() for x in found], pa.binary())
+            sets, sizes = pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, sets, sizes], names=["node", "fp", "shingles", "size"])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +130,8 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     texts = project(docs, doc_id="long", text="string").mapInArrow(nodes, "node long, id long, text string")
     same = (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["rep"])
-    return texts.join(needed, same, "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    found = texts.join(needed, same, "left_semi").select("node", "text").mapInArrow(run, "node long, fp binary, shingles binary, size long")
+    return found.dropDuplicates(["node"])
 
 
 def _lanes(raw: np.ndarray) -> np.ndarray:
@@ -162,65 +161,61 @@ def dealt(classes: DataFrame) -> DataFrame:
     return classes.select("node", "fp").mapInArrow(run, "bucket int, other int, c1 long, c2 long, node long")
 
 
-def _some_pairs(
-    owner: np.ndarray, bucket: np.ndarray, other: np.ndarray, c1: np.ndarray, c2: np.ndarray, node: np.ndarray, small: int
-) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (i, j) in buckets (owner): all of small groups of equal lanes, and some of large ones; and the rows
-    of which not all pairs are formed, with the first row of their cluster (the large groups that are linked)."""
-    whole, some = [], []
-    order = np.lexsort((c1, other, owner))
+def _forest(owner: np.ndarray, other: np.ndarray, c1: np.ndarray, c2: np.ndarray, node: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """Of each row the first row that links inside its bucket (owner) reach."""
+    n = len(owner)
+
+    def keep(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ = sum(np.bitwise_count((c[i] ^ c[j]).view(np.uint64)).astype(np.int16) for c in (c1, c2))
+        kept = (differ <= CHECK) & (label[i] != label[j])
+        return spanning(n, np.concatenate((np.arange(n), i[kept])), np.concatenate((label, j[kept])))
+
+    label = np.arange(n)
+    # whatever their lanes: every row and the least node of its bucket, and neighbours by either word beyond the lanes
+    for k, word in enumerate((node, c1, c2)):
+        turn = np.lexsort((word, owner))
+        new = np.append(True, owner[turn][1:] != owner[turn][:-1])
+        before = turn[np.flatnonzero(new)[np.cumsum(new) - 1]] if k == 0 else np.append(turn[:1], turn[:-1])
+        label = keep(label, turn[~new], before[~new])
+    order = np.lexsort((other, owner))
     key = (owner[order].astype(np.int64) << HALF) | other[order]
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(new, len(key)))
-    group = np.repeat(np.arange(len(new)), size)
-    by_node = np.lexsort((node[order], group))
-    least = order[by_node[new]]  # of each group, a row
-    large = size[group] > small
-    for d in range(1, small):
-        at = np.flatnonzero((group[d:] == group[:-d]) & ~large[d:])
-        if not len(at):
-            break
-        whole.append((order[at + d], order[at]))
-    if large.any():
-        rows = np.flatnonzero(large)
-        some.append((order[rows], least[group[rows]]))
-        # neighbours by the one or the other word beyond the lanes, lane by lane in turn
-        word = np.where((bucket[order[rows]] >> (HALF + 1)) % 2 == 0, c1[order[rows]], c2[order[rows]])
-        turn = rows[np.lexsort((word, group[rows]))]
-        same = group[turn[1:]] == group[turn[:-1]]
-        some.append((order[turn[1:][same]], order[turn[:-1][same]]))
-    # groups of a bucket whose lanes differ by the budget
+    size = np.diff(np.append(new, n))
+    # pairs of groups: each with itself, and those of a bucket whose lanes differ by the budget
     cuts = np.flatnonzero(np.append(True, owner[order[new]][1:] != owner[order[new]][:-1]))
-    values = other[order[new]].astype(np.uint64) << np.uint64(64 - HALF)
-    a, b = trie_pairs(values, np.append(cuts, len(new)), BUDGET)
-    few = size[a] * size[b] <= small * small
-    x, y = a[few], b[few]
-    many = size[x] * size[y]
-    pair = np.repeat(np.arange(len(x)), many)
-    k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
-    whole.append((order[new[x[pair]] + k // size[y[pair]]], order[new[y[pair]] + k % size[y[pair]]]))
-    a, b = a[~few], b[~few]
-    some.append((least[a], least[b]))
-    # a group stands in a bucket of either half of its lane; the pairs in it are formed in that of the lower half
-    held = (size > small) & ((bucket[order[new]] >> HALF) % 2 == 0)
-    held[a] = held[b] = True
-    rows = np.flatnonzero(held[group])
-    return whole, some, (order[rows], order[new[spanning(len(new), a, b)[group[rows]]]])
-
-
-def met(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
-    """Rows (a, b, first, plain, cluster, n): pairs of nodes, a > b, that keep to the budgets (first: with a bucket's
-    least node; plain: not formed by `rest`); and, with a null b, nodes of which `rest` is to form the pairs in a cluster of n rows."""
+    a, b = trie_pairs(other[order[new]].astype(np.uint64) << np.uint64(64 - HALF), np.append(cuts, len(new)), BUDGET)
+    own = np.flatnonzero(size > 1)
+    a, b = np.concatenate((own, a)), np.concatenate((own, b))
+    many = size[a] * size[b]
+    whole = many > small * small
+    held = np.unique(np.concatenate((a[whole], b[whole])))
+    rows = np.repeat(new[held] - np.cumsum(size[held]) + size[held], size[held]) + np.arange(size[held].sum())
+    ends = np.arange(n), order[rows], order[new[a[whole]]]
+    label = spanning(n, np.concatenate(ends), np.concatenate((label, order[np.repeat(new[held], size[held])], order[new[b[whole]]])))
+    a, b, many = a[~whole], b[~whole], many[~whole]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(a):  # some 2^20 pairs at a time
+        to = max(int(np.searchsorted(ends, ends[at] - many[at] + (1 << 20), side="right")), at + 1)
+        pair = np.repeat(np.arange(at, to), many[at:to])
+        k = np.arange(len(pair)) - (ends - many)[pair] + ends[at] - many[at]
+        label = keep(label, order[new[a[pair]] + k // size[b[pair]]], order[new[b[pair]] + k % size[b[pair]]])
+        at = to
+    return label
+
+
+def links(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
+    """Rows (a, b), a > b: of each bucket of classes (node, fp) a forest that connects what its links connect."""
     rows = dealt(classes)
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "c1", "c2")).alias("least")).filter("size > 1")
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     half = HALF // 2
     again = F.array(F.shiftright("other", half) + 1, F.col("other").bitwiseAND((1 << half) - 1) + 1 + (1 << half))
     buckets = (
         rows.join(counts, "bucket")
         .withColumn("piece", F.explode(F.when(F.col("size") > part, again).otherwise(F.array(F.lit(0)))))
         .groupBy("bucket", "piece")
-        .agg(F.collect_list(F.struct("other", "c1", "c2", "node")).alias("rows"), F.first("least").alias("least"))
-        .select("rows", "least.node", "least.c1", "least.c2", "bucket", "piece")
+        .agg(F.collect_list(F.struct("other", "c1", "c2", "node")).alias("rows"))
+        .select("rows")
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,141 +228,69 @@ def met(classes: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
                 flat = lists.values.slice(offsets[at], offsets[to] - offsets[at])
                 other, c1, c2, node = (flat.field(k).to_numpy() for k in ("other", "c1", "c2", "node"))
                 owner = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
-                bucket, piece = (b.column(k).to_numpy()[at:to][owner].astype(np.int64) for k in (4, 5))
-                whole, some, (held, lead) = _some_pairs(owner, bucket, other, c1, c2, node, small)
-                i, j = (np.concatenate(x) for x in zip(*whole, *some, strict=True))
-                # the bucket's least class meets every class
-                first = [b.column(k).to_numpy()[at:to][owner] for k in (1, 2, 3)]
-                ends = [np.concatenate((x[i], x)) for x in (node, c1, c2)], [np.concatenate((x[j], y)) for x, y in zip((node, c1, c2), first, strict=True)]
-                (x, x1, x2), (y, y1, y2) = ends
-                differ = sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64) for p, q in ((x1, y1), (x2, y2)))
-                keep = (differ <= CHECK) & (x != y)
-                number = np.arange(len(x))[keep]
-                n, none = len(number), len(held)
-                _, own, times = np.unique(lead, return_inverse=True, return_counts=True)
-                cluster = (bucket[lead] << 20) | (piece[lead] << HALF) | other[lead]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((np.maximum(x, y)[keep], node[held]))),
-                        pa.concat_arrays([pa.array(np.minimum(x, y)[keep]), pa.nulls(none, pa.int64())]),
-                        pa.array(np.concatenate((number >= len(i), np.zeros(none, bool)))),
-                        pa.array(np.concatenate((number < sum(len(p) for p, _ in whole), np.zeros(none, bool)))),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(cluster)]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[own].astype(np.int64))]),
-                    ],
-                    names=["a", "b", "first", "plain", "cluster", "n"],
-                )
+                label = _forest(owner, other, c1, c2, node, small)
+                far = np.flatnonzero(label != np.arange(len(label)))
+                x, y = node[far], node[label[far]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
                 at = to
 
-    return buckets.mapInArrow(pairs, "a long, b long, first boolean, plain boolean, cluster long, n long")
-
-
-def turns(found: DataFrame) -> DataFrame:
-    """Rows (a, b, turn, plain) of the pairs met; turn counts the pairs of a, those with a bucket's least node first."""
-    each = found.filter("b is not null").groupBy("a", "b").agg(F.max("first").alias("first"), F.max("plain").alias("plain"))
-    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.col("first").desc(), "b"))
-    return each.select("a", "b", turn.alias("turn"), "plain")
+    return buckets.mapInArrow(pairs, "a long, b long")
 
 
 def _close(rows: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a cluster's rows that keep to all budgets, are in two components and meet in no earlier lane."""
-    x, y, cluster = (rows.column(k)[0].as_py() for k in ("x", "y", "cluster"))
-    node, component, size, part = (rows.column(k).to_numpy() for k in ("node", "component", "size", "part"))
-    n, lane = len(node), cluster >> (20 + HALF + 1)
-    raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(n, 8 * _WORDS)
-    words, lanes = raw.view(np.uint64), _lanes(raw)
-    out = [np.empty((0, 2), np.int64)]
-    common = component == np.unique(component)[np.unique(component, return_counts=True)[1].argmax()]
-    # a pair has an end outside the most common component
-    left = np.flatnonzero(~common)
-    for at in range(0, len(left), 256):
-        i = left[at : at + 256]
-        near_by = (component[i, None] != component) & (np.bitwise_count(lanes[i, lane, None] ^ lanes[:, lane]) <= BUDGET)
-        near_by &= common | (i[:, None] < np.arange(n))
-        near_by &= np.minimum(size[i, None], size) * NEAR[1] >= np.maximum(size[i, None], size) * NEAR[0]
-        if x != y:
-            near_by &= part[i, None] != part
-        p, q = np.nonzero(near_by)
-        for start in range(0, len(p), 1 << 16):
-            a, b = i[p[start : start + (1 << 16)]], q[start : start + (1 << 16)]
-            differ = np.bitwise_count(words[a] ^ words[b]).astype(np.int64)
-            keep = differ[:, -2:].sum(axis=1) <= CHECK
-            keep &= (differ.sum(axis=1) <= WIDE) | (np.minimum(size[a], size[b]) < SHORT)
-            a, b = a[keep], b[keep]
-            keep = ~(np.bitwise_count(lanes[a, :lane] ^ lanes[b, :lane]) <= BUDGET).any(axis=1)
-            a, b = node[a[keep]], node[b[keep]]
-            out.append(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1))
-    found = np.concatenate(out)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-
-def rest(found: DataFrame, classes: DataFrame, label: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (a, b): the pairs in clusters of `met` that keep to the budgets and are in two components of label (node, component)."""
-    held = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("cluster", "n")).alias("clusters"))
-    rows = held.join(classes.select("node", "fp", "size"), "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    schema = "cluster long, x long, y long, part long, node long, component long, size long, fp binary"
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                for c in r["clusters"]:
-                    blocks = -(-c["n"] // block)
-                    own = r["node"] % blocks
-                    out += [(c["cluster"], min(own, k), max(own, k), own, r["node"], r["component"], r["size"], r["fp"]) for k in range(blocks)]
-            kinds = [*[pa.int64()] * 7, pa.binary()]
-            names = ["cluster", "x", "y", "part", "node", "component", "size", "fp"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    each = rows.select("node", "component", "size", "fp", "clusters").mapInArrow(deal, schema)
-    return each.groupBy("cluster", "x", "y").applyInArrow(_close, "a long, b long").distinct()
-
-
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are near."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = (np.frombuffer(x.as_buffer(), np.uint64) if len(x.as_buffer()) else np.empty(0, np.uint64) for c in (2, 3) for x in b.column(c))
-            found = list(at)
-            keep = pa.array([near(x, y) for x, y in zip(found[: b.num_rows], found[b.num_rows :], strict=True)], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    """A forest (a, b) that connects what the near pairs of two blocks connect; of one block, if both are the same."""
+    across = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
+    node, part = (rows.column(k).to_numpy() for k in ("node", "part"))
+    n = len(node)
+    words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(n, _WORDS)
+    sets = [np.frombuffer(x, np.uint64) if x else np.empty(0, np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(at.reshape(-1), np.cumsum(size)[:-1])
+    mark, label, out = np.zeros(len(known), bool), np.arange(n), []
+    for i in range(n - 1):
+        keep = (label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) * NEAR[1] >= np.maximum(size[i + 1 :], size[i]) * NEAR[0])
+        if across:
+            keep &= part[i + 1 :] != part[i]
+        j = np.flatnonzero(keep) + i + 1
+        differ = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+        j = j[(differ <= WIDE) | (np.minimum(size[j], size[i]) < SHORT)]
+        if not len(j):
+            continue
+        mark[sets[i]] = True
+        shared = np.add.reduceat(mark[np.concatenate([sets[k] for k in j])], np.cumsum(size[j]) - size[j], dtype=np.int64)
+        mark[sets[i]] = False
+        for k in j[shared * NEAR[1] >= (size[i] + size[j] - shared) * NEAR[0]]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                out.append((i, k))
+    ends = node[np.array(out, np.int64).reshape(-1, 2)]
+    return pa.table({"a": ends.max(axis=1), "b": ends.min(axis=1)})
+
+
+def near_pairs(sets: DataFrame, family: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b), a > b: near pairs that connect, of each family (node, component), what its near pairs connect."""
+    members = sets.join(family, "node")
+    counts = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("of"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("of") / SHINGLES))
+    members = members.join(counts.select("component", blocks.alias("blocks")), "component").withColumn("part", F.pmod("node", "blocks"))
+    each = members.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("component", F.least("part", "k").alias("x"), F.greatest("part", "k").alias("y"), "part", "node", "fp", "shingles")
+    return each.groupBy("component", "x", "y").applyInArrow(_close, "a long, b long")
 
 
 def classify(docs: DataFrame, small: int = SMALL, part: int = PART, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id reached."""
     bounded(docs.sparkSession)
     prints = materialize(_prints(docs), "prints")
-    classes = prints.select("node", "fp", "size").dropDuplicates(["node"])
-    pool = materialize(met(classes, small, part), "met")
-    found = materialize(turns(pool), "candidates")
-    nodes = found.select(F.col("a").alias("node")).union(found.select("b")).union(pool.filter("b is null").select("a")).distinct()
+    family = components(links(prints.select("node", "fp").dropDuplicates(["node"]), small, part))
     reps = prints.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sets = materialize(_sets(docs, reps.join(nodes, "node", "left_semi")), "sets")
-    made = [pool, found, sets]
-    edges, label = found.select("a", "b").filter("false"), None
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose classes are not connected yet; others can add nothing."""
-        ends = [label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
-        return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-    for least, most in [*itertools.pairwise(TURNS), (TURNS[-1], None)]:
-        if most:
-            pairs = found.filter((F.col("turn") >= least) & (F.col("turn") < most))
-            pairs = pairs if label is None else apart(pairs)
-        else:
-            pairs = apart(found.filter((F.col("turn") >= least) & F.col("plain"))).unionByName(rest(pool, classes, label, block)).distinct()
-        edges = materialize(edges.unionByName(checked(pairs, sets)), "near")
-        label = components(edges)
-        made += [edges, label]
-        release(docs.sparkSession)
-    for table in made[:-1]:
+    sets = materialize(_sets(docs, reps.join(family, "node", "left_semi")), "sets")
+    release(docs.sparkSession)
+    label = components(near_pairs(sets, family, block))
+    for table in (family, sets):
         discard(table)
+    release(docs.sparkSession)
     reps = reps.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     return prints.select("doc_id", "node").join(reps.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

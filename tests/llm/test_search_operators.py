@@ -330,6 +330,35 @@ def test_near_dedup_leaves_out_no_pair_of_a_large_group(spark, limits):
     assert all(true[i] == true[low] for i, low in found.items())
 
 
+def test_near_dedup_rows_grow_with_the_group_and_not_its_pairs(spark):
+    """Like documents that are not near: at most one row a bucket and class, and every near pair among them is found."""
+    from lithos.llm import near
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = {}
+    for n in (200, 800):
+        texts = []
+        for i in range(n):  # some 0.75 alike, a third of them 0.8 and more
+            copy = list(base)
+            for at in rng.sample(range(0, 150, 15), 2):
+                copy[at] = f"e{i}y{at}"
+            texts.append(" ".join(copy))
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        prints = near._prints(docs).select("node", "fp").dropDuplicates(["node"])
+        rows[n] = near.links(prints).count()
+        assert rows[n] <= 2 * near.LANES * (n - 1)
+        sets = [near.shingles(t) for t in texts]
+        label = list(range(n))
+        for j in range(n):
+            for i in range(j):
+                if label[i] != label[j] and near.near(sets[i], sets[j]):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+        assert {r.doc_id: r.component_id for r in near.classify(docs).collect()} == dict(enumerate(label))
+    assert rows[800] <= 5 * rows[200]
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage on its own input: what must go goes, what is clean stays."""
     import corpus_pipeline
